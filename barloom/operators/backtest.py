@@ -11,14 +11,22 @@ from barloom.functions.series import add_layers, indicator, pct_change, prev, ra
 from barloom.operators import indicators as ind
 
 
+# Relative distance below which two averages count as equal.
+TIE = 1e-12
+
+
 def _with_position(df: DataFrame) -> DataFrame:
     return df.withColumn("position", F.col("signal") - prev("signal"))
 
 
 def ma_crossover(bars: DataFrame, short=50, long=200) -> DataFrame:
-    """Long while the short average is above the long one; ``position`` marks the changes."""
+    """Long while the short average is above the long one; ``position`` marks the changes.
+
+    Averages that agree to 12 digits are a tie, which is no crossover: otherwise the
+    order of additions would decide.
+    """
     df = indicator(bars, ind.sma_recipe((short, long)))
-    above = F.col(f"sma_{short}") > F.col(f"sma_{long}")
+    above = F.col(f"sma_{short}") > F.col(f"sma_{long}") * (1 + TIE)
     return _with_position(df.withColumn("signal", F.when(above, 1).otherwise(0)))
 
 

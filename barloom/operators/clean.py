@@ -9,7 +9,6 @@ from barloom.functions.series import (
     all_of,
     as_col,
     from_here,
-    last_rows,  # noqa: F401  (re-exported for callers that build their own frames)
     series,
     so_far,
     strip_temps,
@@ -59,13 +58,14 @@ def clean_bars(df: DataFrame, iqr=3.0, column="close", seq=None) -> DataFrame:
     return drop_outliers(consistent_prices(positive_prices(df)), column, iqr)
 
 
-def coerce_bars(raw: DataFrame) -> DataFrame:
+def coerce_bars(raw: DataFrame, carry=()) -> DataFrame:
     """All-string bars to typed bars; rows with an unreadable cell are dropped."""
     typed = raw.select(
         "symbol",
         F.try_to_timestamp(F.col("date")).cast("date").alias("date"),
         *[F.col(c).try_cast("double").alias(c) for c in PRICE_COLUMNS],
         F.col("volume").try_cast("double").cast("long").alias("volume"),
+        *carry,
     )
     return typed.dropna(subset=["date", *PRICE_COLUMNS, "volume"])
 

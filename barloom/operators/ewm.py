@@ -19,17 +19,22 @@ from barloom.functions.series import as_col, strip_temps
 # (1-a)**-BLOCK_DAYS must stay finite: 3**512 for span 2 is about 1e244.
 BLOCK_DAYS = 512
 
-_SERIES = Window.partitionBy("symbol").orderBy("__block", "date")
-_BLOCK = Window.partitionBy("symbol", "__block").orderBy("date")
+
+def _series():
+    return Window.partitionBy("symbol").orderBy("__block", "date")
+
+
+def _block():
+    return Window.partitionBy("symbol", "__block").orderBy("date")
 
 
 def _mark(df: DataFrame) -> DataFrame:
     df = df.withColumn("__block", F.floor(F.unix_date("date") / BLOCK_DAYS).cast("int"))
-    df = df.withColumn("__starts_series", F.lag("date").over(_SERIES).isNull())
+    df = df.withColumn("__starts_series", F.lag("date").over(_series()).isNull())
     return df.withColumns(
         {
-            "__pos": (F.row_number().over(_BLOCK) - 1).cast("double"),
-            "__ends_block": F.lead("date").over(_BLOCK).isNull(),
+            "__pos": (F.row_number().over(_block()) - 1).cast("double"),
+            "__ends_block": F.lead("date").over(_block()).isNull(),
         }
     )
 
@@ -43,7 +48,7 @@ def _average(df: DataFrame, targets: dict[str, tuple[object, int]]) -> DataFrame
     if not names:
         return df.withColumns(plain)
 
-    growing = _BLOCK.rowsBetween(Window.unboundedPreceding, 0)
+    growing = _block().rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     for name in names:
         q = decays[name]
@@ -55,7 +60,7 @@ def _average(df: DataFrame, targets: dict[str, tuple[object, int]]) -> DataFrame
     tail = F.struct(
         (F.col("__pos") + 1).alias("n"), *[F.col(f"__local_{n}").alias(n) for n in names]
     )
-    earlier = _SERIES.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _series().rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__tails", F.collect_list(F.when(F.col("__ends_block"), tail)).over(earlier))
 
     def carry_in(name):

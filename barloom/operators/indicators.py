@@ -37,14 +37,20 @@ def _c(name):
 
 # --- shared helper columns ----------------------------------------------------
 
-DELTA = {"__delta": _c("close") - prev("close")}
-RETURN = {"returns": pct_change("close")}
-TYPICAL = {"__tp": (_c("high") + _c("low") + _c("close")) / 3}
-PREV_BAR = {
-    "__prev_close": prev("close"),
-    "__prev_high": prev("high"),
-    "__prev_low": prev("low"),
-}
+def delta():
+    return {"__delta": _c("close") - prev("close")}
+
+
+def simple_return():
+    return {"returns": pct_change("close")}
+
+
+def typical():
+    return {"__tp": (_c("high") + _c("low") + _c("close")) / 3}
+
+
+def prev_bar():
+    return {f"__prev_{c}": prev(c) for c in ("close", "high", "low")}
 
 
 # --- rolling central moments ---------------------------------------------------
@@ -186,7 +192,7 @@ def rsi_recipe(windows=(14,), names=None, eps=None):
                 100 - 100 / (1 + ratio(g, l))
             )
         out[(names or {}).get(n, f"rsi_{n}")] = value
-    return [DELTA, means, out]
+    return [delta(), means, out]
 
 
 def bollinger_recipe(settings=((20, 2.0),)):
@@ -225,7 +231,7 @@ def true_range_recipe(first_row_null=False, name="__tr"):
     )
     if first_row_null:
         span = F.when(_c("__prev_close").isNotNull(), span)
-    return [PREV_BAR, {name: span}]
+    return [prev_bar(), {name: span}]
 
 
 def atr_recipe(n=14):
@@ -269,7 +275,7 @@ def cci_recipe(windows=(14, 20)):
         out[f"cci_{n}"] = ratio(
             _c("__tp") - center, 0.015 * _mean_abs_deviation(f"__tp_vals_{n}", center, n)
         )
-    return [TYPICAL, frames, out]
+    return [typical(), frames, out]
 
 
 def mfi_recipe(windows=(14, 28)):
@@ -284,7 +290,7 @@ def mfi_recipe(windows=(14, 28)):
         out[f"mfi_{n}"] = F.when(_c(q) == 0, F.when(_c(p) > 0, 100.0)).otherwise(
             100 - 100 / (1 + ratio(p, q))
         )
-    return [TYPICAL, {"__prev_tp": prev("__tp")}, sums, out]
+    return [typical(), {"__prev_tp": prev("__tp")}, sums, out]
 
 
 # --- volume -------------------------------------------------------------------
@@ -296,7 +302,7 @@ def volume_recipe(n=20, sma=None, name="volume_ratio"):
 
 def obv_recipe():
     step = F.coalesce(F.signum("__delta") * _c("volume"), F.lit(0.0))
-    return [DELTA, {"obv": F.sum(step).over(so_far())}]
+    return [delta(), {"obv": F.sum(step).over(so_far())}]
 
 
 def vwap_recipe():
@@ -354,7 +360,7 @@ def directional_recipe(windows=(14, 21, 50)):
         }
         u, d = _c(f"__di_up_{n}"), _c(f"__di_down_{n}")
         out |= {f"adx_{n}": 100 * ratio(F.abs(u - d), u + d), f"di_diff_{n}": u - d}
-    return [PREV_BAR, moves, frames, di, out]
+    return [prev_bar(), moves, frames, di, out]
 
 
 def candle_recipe():
@@ -401,7 +407,7 @@ def garman_klass_recipe():
 def realised_vol_recipe(windows=(10, 20, 50)):
     """Annualised return deviation, its ratio to the 20-row one, and the range deviation."""
     needed = sorted({20, *windows})
-    spread = [RETURN | {"__range": _c("high") - _c("low")}]
+    spread = [simple_return() | {"__range": _c("high") - _c("low")}]
     parts = merge_recipes(
         [{}, *central_moments("returns", needed)], [{}, *central_moments("__range", windows)]
     )
@@ -424,7 +430,7 @@ def moment_recipe(cols=("close", "returns"), windows=(5, 10, 20)):
             kurt = F.when(varies, ratio(m4, m2 * m2) - 3)
             out[f"{c}_skew_{n}"] = corrected_skewness(skew, size)
             out[f"{c}_kurt_{n}"] = corrected_kurtosis(kurt, size)
-    return merge_recipes([RETURN], *[[{}, *r] for r in recipes]) + [out]
+    return merge_recipes([simple_return()], *[[{}, *r] for r in recipes]) + [out]
 
 
 def slope_recipe(base, pairs, k):

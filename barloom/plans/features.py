@@ -56,14 +56,14 @@ def features_forecast(df: DataFrame) -> DataFrame:
     ).drop("macd_hist")
     df = add_layers(
         df,
-        [ind.RETURN | ind.log_return_recipe()[0] | {"target": nxt("close")}],
+        [ind.simple_return() | ind.log_return_recipe()[0] | {"target": nxt("close")}],
         ind.sma_recipe(windows),
-        [ind.RETURN, {"volatility": ind.deviation("returns", 20)}],
+        [ind.simple_return(), {"volatility": ind.deviation("returns", 20)}],
         ind.rsi_recipe((14,)),
         ind.bollinger_recipe(),
         ind.volume_recipe(20),
         ind.lag_recipe(("close",)),
-        [ind.RETURN, ind.lag_recipe(("returns",))[0]],
+        [ind.simple_return(), ind.lag_recipe(("returns",))[0]],
     )
     return strip_temps(df.drop("bb_position_20"), keep)
 
@@ -73,9 +73,9 @@ def features_ensemble(df: DataFrame) -> DataFrame:
     keep = df.columns
     df = add_layers(
         df,
-        [ind.RETURN | {"target": nxt("close")}],
+        [ind.simple_return() | {"target": nxt("close")}],
         ind.sma_recipe((5, 20, 50)),
-        [ind.RETURN, {"volatility": ind.deviation("returns", 20)}],
+        [ind.simple_return(), {"volatility": ind.deviation("returns", 20)}],
         ind.rsi_recipe((14,)),
         ind.lag_recipe(("close",)),
     )
@@ -115,7 +115,7 @@ def features_full(df: DataFrame) -> DataFrame:
         df,
         [ema_views],
         *_trend_recipes(),
-        [ind.RETURN | ind.log_return_recipe()[0] | {"target": nxt("close")}],
+        [ind.simple_return() | ind.log_return_recipe()[0] | {"target": nxt("close")}],
         ind.garman_klass_recipe(),
         ind.slope_recipe(ind.sma_recipe(windows), {f"sma_{n}": f"sma_slope_{n}" for n in windows}, 5),
         ind.position_recipe(ind.sma_recipe(windows), {f"sma_{n}": f"price_vs_sma_{n}" for n in windows}),
@@ -130,7 +130,7 @@ def features_full(df: DataFrame) -> DataFrame:
         ind.obv_recipe(),
         ind.vwap_recipe(),
         ind.lag_recipe(("close", "volume"), lags),
-        [ind.RETURN, ind.lag_recipe(("returns",), lags)[0]],
+        [ind.simple_return(), ind.lag_recipe(("returns",), lags)[0]],
         ind.moment_recipe(),
     )
     return strip_temps(df.drop(*[f"bb_middle_{n}" for n, _ in bands]), keep)
@@ -146,7 +146,7 @@ def features_universal(df: DataFrame) -> DataFrame:
     day_range = (_c("high") - _c("low")) / (_c("close") + EPS)
     day_sin, day_cos = cyclical(F.weekday("date"), 7)
     month_sin, month_cos = cyclical(F.month("date"), 12)
-    plain = ind.RETURN | ind.log_return_recipe(eps=EPS)[0] | {
+    plain = ind.simple_return() | ind.log_return_recipe(eps=EPS)[0] | {
         "high_low_ratio": _c("high") / (_c("low") + EPS),
         "close_open_ratio": _c("close") / (_c("open") + EPS),
         "volume_ma_20": mean("volume", 20),
