@@ -360,3 +360,63 @@ UNIVERSAL_NUMBERS = (
 )
 register("features_universal", _bundle_sql(UNIVERSAL_STEPS, UNIVERSAL_NUMBERS, (), scale=" / (n.close + 1e-10)"))(
     lambda spark, d: _pick(bundles.features_universal(bars(spark, d)), *UNIVERSAL_NUMBERS))
+
+
+# The comprehensive bundle: all layers above side by side, three MACD settings.
+FULL_EMAS = (5, 10, 20, 50, 100, 200)
+FULL_STEPS = [
+    {**PREV, **DELTA, **RET, "tp": "(high + low + close) / 3", "rad": RAD, "span": "high - low",
+     "vwap": f"sum(close * volume) OVER {SO_FAR} / sum(volume) OVER {SO_FAR}",
+     **{f"sma_{n}": mean("close", n) for n in FULL_EMAS}, **{f"wma_{n}": _wma(n) for n in FULL_EMAS},
+     **{f"sd{n}": std("close", n) for n, _ in BANDS},
+     **{f"lo{n}": low("low", n) for n in (5, 14, 21, 28)}, **{f"hi{n}": top("high", n) for n in (5, 14, 21, 28)}},
+    {**CANDLE_SQL, **HH, **DM_STEPS[1], **CHANNELS, **GAINS, "ptp": lag("tp"), "step": "coalesce(sign(delta) * volume, 0)",
+     **{f"bb_upper_{n}": f"sma_{n} + {k} * sd{n}" for n, k in BANDS}, **{f"bb_lower_{n}": f"sma_{n} - {k} * sd{n}" for n, k in BANDS},
+     **{f"stoch_k_{k}_{d}": f"100 * {div(f'close - lo{k}', f'hi{k} - lo{k}')}" for k, d in STOCH},
+     **{f"m{n}": mean("tp", n) for n in (14, 20)}, **{f"v{n}": f"list(tp) OVER {frame(n)}" for n in (14, 20)},
+     **{f"realized_vol_{n}": f"sqrt(252) * {std('returns', n)}" for n in RV}},
+    {**DM_STEPS[2], **_rsi_means((7, 14, 21)), "hi": "CAST(higher_highs AS INTEGER)", "li": "CAST(lower_lows AS INTEGER)",
+     "up_flow": "CASE WHEN tp > ptp THEN tp * volume ELSE 0 END", "down_flow": "CASE WHEN tp < ptp THEN tp * volume ELSE 0 END",
+     **{f"mad{n}": f"list_sum(list_transform(v{n}, lambda x: abs(x - m{n}))) / {n}" for n in (14, 20)},
+     **{f"bb_width_{n}": div(f"bb_upper_{n} - bb_lower_{n}", f"sma_{n}") for n, _ in BANDS}},
+    {**{f"pm{a}{n}": mean(x, n) for n in DM for a, x in (("p", "plus"), ("m", "minus"), ("a", "tr"))},
+     **{f"rsi_{n}": _rsi(n) for n in (7, 14, 21)}, "trend_strength": f"CAST({total('hi', 10)} - {total('li', 10)} AS BIGINT)",
+     **{f"fp{n}": total("up_flow", n) for n in (14, 28)}, **{f"fq{n}": total("down_flow", n) for n in (14, 28)},
+     **{f"edge{n}": full(20, f"quantile_cont(bb_width_{n}, 0.1)", f"bb_width_{n}") for n, _ in BANDS}},
+    {**{f"dp{n}": f"100 * {div(f'pmp{n}', f'pma{n}')}" for n in DM}, **{f"dm{n}": f"100 * {div(f'pmm{n}', f'pma{n}')}" for n in DM},
+     **{f"bb_squeeze_{n}": f"coalesce(bb_width_{n} < edge{n}, false)" for n, _ in BANDS}},
+]
+FULL_NUMBERS = {
+    **TREND_NUMBERS, "returns": "returns", "log_returns": f"ln({div('close', lag('close'))})",
+    "garman_klass_vol": "CASE WHEN rad >= 0 THEN sqrt(252) * sqrt(rad) END", "vwap": "vwap", "price_vs_vwap": "close / vwap - 1",
+    "obv": f"sum(step) OVER {SO_FAR}", "target": lead("close"),
+    **{f"{a}_{n}": f"{a}_{n}" for n in FULL_EMAS for a in ("sma", "wma")}, **{f"ema_{n}": f"e{n}.y" for n in FULL_EMAS},
+    **{f"price_vs_sma_{n}": div("close", f"sma_{n}") + " - 1" for n in FULL_EMAS},
+    **{f"price_vs_ema_{n}": f"close / e{n}.y - 1" for n in FULL_EMAS},
+    **{f"sma_slope_{n}": pct(f"sma_{n}", 5) for n in FULL_EMAS}, **{f"ema_slope_{n}": pct(f"e{n}.y", 5) for n in FULL_EMAS},
+    **_macd_numbers(), **{f"macd_slope_{f}_{s}": pct(f"line{f}.macd", 3) for f, s, _ in MACDS},
+    **{f"realized_vol_{n}": f"realized_vol_{n}" for n in RV}, **{f"range_vol_{n}": std("span", n) for n in RV},
+    **{f"volatility_ratio_{n}": div(f"realized_vol_{n}", "realized_vol_20") for n in RV},
+    **{f"rsi_{n}": f"rsi_{n}" for n in (7, 14, 21)}, **{f"rsi_slope_{n}": pct(f"rsi_{n}", 3) for n in (7, 14, 21)},
+    **{c: c for n, _ in BANDS for c in (f"bb_upper_{n}", f"bb_lower_{n}", f"bb_width_{n}")},
+    **{f"bb_position_{n}": div(f"close - bb_lower_{n}", f"bb_upper_{n} - bb_lower_{n}") for n, _ in BANDS},
+    **{f"stoch_k_{k}_{d}": f"stoch_k_{k}_{d}" for k, d in STOCH}, **{f"stoch_d_{k}_{d}": mean(f"stoch_k_{k}_{d}", d) for k, d in STOCH},
+    **{f"williams_r_{n}": f"-100 * {div(f'hi{n} - close', f'hi{n} - lo{n}')}" for n in (14, 28)},
+    **{f"cci_{n}": div(f"tp - m{n}", f"0.015 * mad{n}") for n in (14, 20)},
+    **{f"mfi_{n}": f"CASE WHEN fq{n} = 0 THEN CASE WHEN fp{n} > 0 THEN 100 END ELSE 100 - 100 / (1 + fp{n} / fq{n}) END" for n in (14, 28)},
+    **{f"{c}_lag_{k}": lag(c, k) for c in ("close", "volume", "returns") for k in (1, 2, 3, 5, 10, 20)},
+    **{f"returns_{short}_{n}": _moment(kind, "returns", n) for n in (5, 10, 20) for short, kind in (("skew", "skewness"), ("kurt", "kurtosis"))},
+}
+FULL_FLAGS = [*TREND_FLAGS, *[f"bb_squeeze_{n}" for n, _ in BANDS]]
+
+
+def _full_sql():
+    ctes, last = layers("numbered", *FULL_STEPS)
+    joins = " ".join(f"JOIN e{n} USING (symbol, rn)" for n in FULL_EMAS)
+    joins += " " + " ".join(f"JOIN line{f} USING (symbol, rn) JOIN sig{f} USING (symbol, rn)" for f, _, _ in MACDS)
+    extra = [ema_cte(f"e{n}", "numbered", "close", n) for n in FULL_EMAS]
+    return statement([BARS, *_macd_ctes(MACDS), *extra, *ctes], f"{last} {joins}", ", ".join([KEY, *FULL_FLAGS]), FULL_NUMBERS, 5)
+
+
+register("features_full", _full_sql(), 5)(
+    lambda spark, d: _pick(bundles.features_full(bars(spark, d)), *FULL_NUMBERS, *FULL_FLAGS))
