@@ -394,7 +394,7 @@ FULL_NUMBERS = {
     **{f"price_vs_sma_{n}": div("close", f"sma_{n}") + " - 1" for n in FULL_EMAS},
     **{f"price_vs_ema_{n}": f"close / e{n}.y - 1" for n in FULL_EMAS},
     **{f"sma_slope_{n}": pct(f"sma_{n}", 5) for n in FULL_EMAS}, **{f"ema_slope_{n}": pct(f"e{n}.y", 5) for n in FULL_EMAS},
-    **_macd_numbers(), **{f"macd_slope_{f}_{s}": pct(f"line{f}.macd", 3) for f, s, _ in MACDS},
+    **_macd_numbers(), **{f"macd_slope_angle_{f}_{s}": f"atan({pct(f'line{f}.macd', 3)})" for f, s, _ in MACDS},
     **{f"realized_vol_{n}": f"realized_vol_{n}" for n in RV}, **{f"range_vol_{n}": std("span", n) for n in RV},
     **{f"volatility_ratio_{n}": div(f"realized_vol_{n}", "realized_vol_20") for n in RV},
     **{f"rsi_{n}": f"rsi_{n}" for n in (7, 14, 21)}, **{f"rsi_slope_{n}": pct(f"rsi_{n}", 3) for n in (7, 14, 21)},
@@ -418,5 +418,9 @@ def _full_sql():
     return statement([BARS, *_macd_ctes(MACDS), *extra, *ctes], f"{last} {joins}", ", ".join([KEY, *FULL_FLAGS]), FULL_NUMBERS, 5)
 
 
-register("features_full", _full_sql(), 5)(
-    lambda spark, d: _pick(bundles.features_full(bars(spark, d)), *FULL_NUMBERS, *FULL_FLAGS))
+@register("features_full", _full_sql(), 5)
+def _(spark, d):
+    df = bundles.features_full(bars(spark, d))
+    # A MACD line crosses zero, so its relative slope is unbounded; its angle is compared.
+    angles = {f"macd_slope_angle_{f}_{s}": F.atan(f"macd_slope_{f}_{s}") for f, s, _ in MACDS}
+    return _pick(df.withColumns(angles), *FULL_NUMBERS, *FULL_FLAGS)
