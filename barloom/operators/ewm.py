@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import as_col, strip_temps
+from barloom.functions.series import as_col, ratio, strip_temps
 
 # (1-a)**-BLOCK_DAYS must stay finite: 3**512 for span 2 is about 1e244.
 BLOCK_DAYS = 512
@@ -102,8 +102,12 @@ def macd(df: DataFrame, fast=12, slow=26, signal=9, scale=None) -> DataFrame:
     return macd_set(df, [(fast, slow, signal)], scale=scale, named=False)
 
 
-def macd_set(df: DataFrame, settings, scale=None, named=True, also=None) -> DataFrame:
-    """Several MACD settings (and extra averages ``also``) in two shared passes."""
+def macd_set(df: DataFrame, settings, scale=None, named=True, also=None, changes=None) -> DataFrame:
+    """Several MACD settings (and extra averages ``also``) in two shared passes.
+
+    ``changes`` adds relative changes ``{name: (column, rows)}`` of the new columns over
+    the order the passes have already sorted by.
+    """
     keep = df.columns
     spans = sorted({s for fast, slow, _ in settings for s in (fast, slow)})
     first = {f"__ema_{s}": ("close", s) for s in spans} | (also or {})
@@ -117,4 +121,7 @@ def macd_set(df: DataFrame, settings, scale=None, named=True, also=None) -> Data
         hist[f"macd_hist{full_tag}"] = F.col(f"macd{tag}") - F.col(f"macd_signal{full_tag}")
     df = _average(_mark(df), first).withColumns(lines)
     df = _average(df, signals).withColumns(hist)
-    return strip_temps(df, keep=keep)
+    moved = {
+        name: ratio(c, F.lag(c, k).over(_series())) - 1 for name, (c, k) in (changes or {}).items()
+    }
+    return strip_temps(df.withColumns(moved) if moved else df, keep=keep)

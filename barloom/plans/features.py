@@ -1,4 +1,9 @@
-"""Named feature bundles: every symbol at once, one exchange by symbol."""
+"""Named feature bundles: every symbol at once, one exchange by symbol.
+
+Frame windows come first and exponential averages last: the averages' windows have the
+longer partition key, and below them the optimizer would interleave the two orders,
+with a sort at every change.
+"""
 
 from __future__ import annotations
 
@@ -27,9 +32,6 @@ def _c(name):
 def features_basic(df: DataFrame) -> DataFrame:
     """Averages, momentum, oscillators, bands, volume and channels of the cleaning job."""
     keep = df.columns
-    df = macd_set(
-        df, [(12, 26, 9)], named=False, also={f"ema_{n}": ("close", n) for n in (5, 10, 20, 50)}
-    )
     channel = [{"high_20": ind.highest("high", 20), "low_20": ind.lowest("low", 20)}]
     df = add_layers(
         df,
@@ -44,16 +46,16 @@ def features_basic(df: DataFrame) -> DataFrame:
         ind.obv_recipe(),
         channel,
     )
-    return strip_temps(df.drop("stoch_d_14_3"), keep)
+    df = strip_temps(df.drop("stoch_d_14_3"), keep)
+    return macd_set(
+        df, [(12, 26, 9)], named=False, also={f"ema_{n}": ("close", n) for n in (5, 10, 20, 50)}
+    )
 
 
 def features_forecast(df: DataFrame) -> DataFrame:
     """Inputs of the single-model forecaster, with the next close as ``target``."""
     keep = df.columns
     windows = (5, 10, 20, 50, 200)
-    df = macd_set(
-        df, [(12, 26, 9)], named=False, also={f"ema_{n}": ("close", n) for n in windows}
-    ).drop("macd_hist")
     df = add_layers(
         df,
         [ind.simple_return() | ind.log_return_recipe()[0] | {"target": nxt("close")}],
@@ -65,7 +67,9 @@ def features_forecast(df: DataFrame) -> DataFrame:
         ind.lag_recipe(("close",)),
         [ind.simple_return(), ind.lag_recipe(("returns",))[0]],
     )
-    return strip_temps(df.drop("bb_position_20"), keep)
+    df = strip_temps(df.drop("bb_position_20"), keep)
+    averages = {f"ema_{n}": ("close", n) for n in windows}
+    return macd_set(df, [(12, 26, 9)], named=False, also=averages).drop("macd_hist")
 
 
 def features_ensemble(df: DataFrame) -> DataFrame:
@@ -106,14 +110,9 @@ def features_full(df: DataFrame) -> DataFrame:
     macds = [(12, 26, 9), (5, 35, 5), (19, 39, 9)]
     bands = ((20, 2.0), (10, 1.5), (50, 2.5))
     stochs = ((14, 3), (5, 3), (21, 5))
-    df = macd_set(df, macds, also={f"ema_{n}": ("close", n) for n in windows})
-    ema_views = {f"ema_slope_{n}": pct_change(f"ema_{n}", 5) for n in windows}
-    ema_views |= {f"price_vs_ema_{n}": ind.ratio("close", f"ema_{n}") - 1 for n in windows}
-    ema_views |= {f"macd_slope_{f}_{s}": pct_change(f"macd_{f}_{s}", 3) for f, s, _ in macds}
     lags = (1, 2, 3, 5, 10, 20)
     df = add_layers(
         df,
-        [ema_views],
         *_trend_recipes(),
         [ind.simple_return() | ind.log_return_recipe()[0] | {"target": nxt("close")}],
         ind.garman_klass_recipe(),
@@ -133,13 +132,16 @@ def features_full(df: DataFrame) -> DataFrame:
         [ind.simple_return(), ind.lag_recipe(("returns",), lags)[0]],
         ind.moment_recipe(),
     )
-    return strip_temps(df.drop(*[f"bb_middle_{n}" for n, _ in bands]), keep)
+    df = strip_temps(df.drop(*[f"bb_middle_{n}" for n, _ in bands]), keep)
+    changes = {f"ema_slope_{n}": (f"ema_{n}", 5) for n in windows}
+    changes |= {f"macd_slope_{f}_{s}": (f"macd_{f}_{s}", 3) for f, s, _ in macds}
+    df = macd_set(df, macds, also={f"ema_{n}": ("close", n) for n in windows}, changes=changes)
+    return df.withColumns({f"price_vs_ema_{n}": ind.ratio("close", f"ema_{n}") - 1 for n in windows})
 
 
 def features_universal(df: DataFrame) -> DataFrame:
     """Scale-free features for one pooled model; ratios carry a small epsilon."""
     keep = df.columns
-    df = macd_set(df, [(12, 26, 9)], scale=_c("close") + EPS, named=False)
     averages = {f"__sma_{n}": mean("close", n) for n in (5, 10, 20, 50)}
     ratios = {f"sma_{n}_ratio": _c("close") / (_c(f"__sma_{n}") + EPS) for n in (5, 10, 20, 50)}
     ratios |= {f"sma_{n}_slope": pct_change(f"__sma_{n}", 3) for n in (5, 10, 20, 50)}
@@ -173,7 +175,7 @@ def features_universal(df: DataFrame) -> DataFrame:
         },
     ]
     df = add_layers(df, [plain, vols], [averages, ratios], bands, ind.rsi_recipe((14,), eps=EPS))
-    return strip_temps(df, keep)
+    return macd_set(strip_temps(df, keep), [(12, 26, 9)], scale=_c("close") + EPS, named=False)
 
 
 # Universal columns that are not model inputs.

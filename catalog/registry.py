@@ -10,6 +10,7 @@ from barloom.operators import validation as val
 from barloom.sources.derive import bars_from_events, derive_bars
 
 QUERIES: dict = {}
+UNROUNDED: dict = {}
 ORACLES: dict = {}
 
 
@@ -78,6 +79,7 @@ def register(name, sql=None, digits=6):
     """Register a query; its doubles are rounded, as they are in its SQL statement."""
 
     def add(fn):
+        UNROUNDED[name] = fn
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), digits)
         if sql is not None:
             ORACLES[name] = sql
