@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import clip
-from barloom.functions.series import add_layers, last_rows, ratio, series, strip_temps
+from barloom.functions.series import add_layers, last_rows, nxt, ratio, series, strip_temps
+from barloom.operators.clean import newest_rows
 
 
 def trend_forecast_rows(bars: DataFrame) -> DataFrame:
@@ -51,8 +52,11 @@ FORECAST_COLUMNS = [
 
 
 def trend_forecast(bars: DataFrame) -> DataFrame:
-    """The forecast at the newest bar of every symbol, dated the next calendar day."""
-    rows = trend_forecast_rows(bars)
+    """The forecast at the newest bar of every symbol, dated the next calendar day.
+
+    Only the newest 50 rows matter, a limit Spark already applies before the shuffle.
+    """
+    rows = trend_forecast_rows(newest_rows(bars, 50))
     newest = rows.withColumn("__rn", F.row_number().over(series(newest_first=True))).filter("__rn = 1")
     return newest.select("symbol", F.date_add("date", 1).alias("prediction_date"), *FORECAST_COLUMNS)
 
@@ -117,8 +121,6 @@ def model_report(metrics: DataFrame, score="accuracy") -> DataFrame:
 
 def trend_lines(bars: DataFrame) -> DataFrame:
     """Least-squares line of the next close on the close, per symbol."""
-    from barloom.functions.series import nxt
-
     df = bars.withColumn("target", nxt("close")).filter(F.col("target").isNotNull())
     return df.groupBy("symbol").agg(
         F.regr_slope("target", "close").alias("slope"),

@@ -20,7 +20,7 @@ from barloom.functions.series import (
     whole_series,
 )
 from barloom.operators import indicators as ind
-from barloom.operators.clean import search_symbols, within_period
+from barloom.operators.clean import newest_rows, search_symbols, within_period
 from barloom.operators.grain import latest_date
 
 # Closes kept by the screen, as name and bars back from the newest.
@@ -104,9 +104,18 @@ def _pivot_columns() -> dict[str, Column]:
 
 
 def recent_pivot(bars: DataFrame, lookback_days=60) -> DataFrame:
-    """One row per symbol: today's bar and the closes of the fixed offsets."""
-    ranked_bars = recent_ranked(bars, lookback_days).filter(F.col("rn") <= 32)
-    return ranked_bars.groupBy("symbol").agg(*[c.alias(n) for n, c in _pivot_columns().items()])
+    """One row per symbol: today's bar and the closes of the fixed offsets.
+
+    The rank limit comes first, so Spark applies it before the shuffle as well and each
+    task sends at most 32 rows per symbol, however long the history. The day window
+    only ever cuts the older end of those rows.
+    """
+    rank = F.row_number().over(series(newest_first=True))
+    newest = bars.withColumn("rn", rank).filter(F.col("rn") <= 32)
+    near = newest.withColumn("__last", F.max("date").over(whole_series())).filter(
+        F.col("date") >= F.date_sub("__last", lookback_days)
+    )
+    return near.groupBy("symbol").agg(*[c.alias(n) for n, c in _pivot_columns().items()])
 
 
 def screen_columns(wide: DataFrame) -> DataFrame:
@@ -135,24 +144,13 @@ def market_screen(
 ) -> DataFrame:
     """Latest prices of every symbol with period changes and 52-week statistics.
 
-    The 52-week statistics are conditional aggregates next to the pivot: bars are
-    shuffled by symbol once and aggregated in place, with no join. The day window is
+    Neither half shuffles the history: the pivot sends its newest 32 rows per symbol and
+    task, the 52-week statistics scan one year and send one partial row. Both halves
+    arrive partitioned by symbol, so their join adds no shuffle. The day window is
     anchored at each symbol's own last bar, the 52 weeks at ``as_of``.
     """
-    anchor = latest_date(bars) if as_of is None else as_of
     bars = search_symbols(bars, search)
-    rn = F.row_number().over(series(newest_first=True))
-    last = F.max("date").over(whole_series())
-    placed = bars.withColumns({"__rn": rn, "__last": last, "__year": F.col("date") >= F.date_sub(anchor, 365)})
-    near = F.col("date") >= F.date_sub("__last", lookback_days)
-    placed = placed.withColumn("rn", F.when(near, F.col("__rn")))
-    in_year = F.col("__year")
-    wide = placed.groupBy("symbol").agg(
-        *[c.alias(n) for n, c in _pivot_columns().items()],
-        F.max(F.when(in_year, F.col("high"))).alias("week_52_high"),
-        F.min(F.when(in_year, F.col("low"))).alias("week_52_low"),
-        F.avg(F.when(in_year, F.col("volume"))).alias("avg_volume"),
-    )
+    wide = recent_pivot(bars, lookback_days).join(year_stats(bars, as_of), "symbol", "left")
     out = screen_columns(wide)
     if sort_by is not None or page_number is not None:
         out = ranked(out, sort_by or "symbol", ascending)
@@ -172,7 +170,7 @@ def screen_with_forecasts(screen: DataFrame, latest_forecasts: DataFrame) -> Dat
 def last_bar_summary(bars: DataFrame, rows_52w=252) -> DataFrame:
     """Per symbol at its newest bar: prices, changes over 1, 5, 21 bars, 252-row range."""
     rank = F.row_number().over(series(newest_first=True))
-    placed = bars.withColumn("__rn", rank)
+    placed = bars.withColumn("__rn", rank).filter(F.col("__rn") <= max(rows_52w, 22))
     in_year = F.col("__rn") <= rows_52w
 
     def at(k, c="close"):
@@ -228,7 +226,7 @@ def yesterday_change(bars: DataFrame) -> DataFrame:
 
 def trend_states(bars: DataFrame) -> DataFrame:
     """RSI zone and moving-average trend of every symbol at its newest bar."""
-    df = add_layers(bars, ind.rsi_recipe((14,)), ind.sma_recipe((20, 50)))
+    df = add_layers(newest_rows(bars, 64), ind.rsi_recipe((14,)), ind.sma_recipe((20, 50)))
     latest = df.withColumn("__rn", F.row_number().over(series(newest_first=True))).filter("__rn = 1")
     rsi = F.col("rsi_14")
     up = (F.col("close") > F.col("sma_20")) & (F.col("sma_20") > F.col("sma_50"))

@@ -102,13 +102,13 @@ FC_COLS = ["predicted_price", "predicted_change_pct", "confidence"]
     "screen_with_forecasts",
     statement(
         [TAME, FORECAST_CTE, _recent(60), PIVOT_SQL, YEAR_SQL,
-         "newest AS (SELECT * FROM forecasts WHERE (symbol, prediction_date) IN (SELECT symbol, max(prediction_date) FROM forecasts GROUP BY symbol) AND symbol % 4 > 0)"],
+         "newest AS (SELECT * FROM forecasts WHERE (symbol, prediction_date) IN (SELECT symbol, max(prediction_date) FROM forecasts GROUP BY symbol))"],
         "wide LEFT JOIN year USING (symbol) LEFT JOIN newest f USING (symbol)", "symbol, today_date, volume, f.model_used",
         ["today_close", "week_52_high", *FC_COLS]),
 )
 def _(spark, d):
     prices = tame(spark, d)
-    made = forecasts(spark, d).filter("symbol % 4 > 0")
+    made = forecasts(spark, d)
     out = sc.screen_with_forecasts(sc.market_screen(prices, as_of(spark, d)), val.predictions_on(made))
     return out.select("symbol", "today_date", "volume", "model_used", "today_close", "week_52_high", *FC_COLS)
 
@@ -147,9 +147,9 @@ def _(spark, d):
           statement([BARS, LAST_SQL], "last", "symbol",
                     {"price": "price", "high_52w": "high_52w", "low_52w": "low_52w",
                      "distance_from_high": "(price - high_52w) / high_52w * 100"},
-                    where="WHERE (price - high_52w) / high_52w * 100 > -15"))
+                    where="WHERE (price - high_52w) / high_52w * 100 > -70"))
 def _(spark, d):
-    return sc.near_high(bars(spark, d), within_pct=15)
+    return sc.near_high(bars(spark, d), within_pct=70)
 
 
 @register("yesterday_change", statement([BARS, LAST_SQL], "last", "symbol", {"yesterday_change": _chg("c1", "c2")}))

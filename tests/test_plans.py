@@ -30,13 +30,15 @@ def test_a_bundle_shuffles_once_and_sorts_twice_at_most(spark, stored, bundle):
     assert "Python" not in p and "Join" not in p
 
 
-def test_the_screen_needs_one_shuffle_and_no_join(spark, stored):
+def test_the_screen_limits_before_its_shuffle(spark, stored):
     import datetime as dt
 
     from pyspark.sql import functions as F
 
     p = plan(sc.market_screen(store.read_bars(spark, stored), F.lit(dt.date(2001, 10, 1))))
-    assert len(re.findall(r"Exchange ", p)) == 1 and "Join" not in p
+    assert "WindowGroupLimit" in p and len(re.findall(r"Exchange hashpartitioning", p)) <= 2
+    assert p.rindex("Partial") > p.index("Exchange hashpartitioning(symbol")
+    assert "partial_max" in p and "GreaterThanOrEqual(date" in p
 
 
 def test_paging_is_a_top_k(spark, stored):
