@@ -29,8 +29,9 @@ def so_far():
     return series().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_here():
-    return series().rowsBetween(0, Window.unboundedFollowing)
+def entire():
+    """The whole series in date order, as one frame shared by all of its rows."""
+    return series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def whole_series():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.series import (
     all_of,
     as_col,
-    from_here,
+    entire,
     series,
     so_far,
     strip_temps,
@@ -22,10 +22,14 @@ PERIOD_DAYS = {"1m": 30, "3m": 90, "6m": 180, "1y": 365, "2y": 730, "5y": 1825}
 
 
 def forward_backward_fill(df: DataFrame, cols) -> DataFrame:
-    """Last known value, else the next known one, in date order."""
-    back = {c: F.last(c, ignorenulls=True).over(so_far()) for c in cols}
-    ahead = {c: F.first(c, ignorenulls=True).over(from_here()) for c in cols}
-    return df.withColumns({c: F.coalesce(back[c], ahead[c]) for c in cols})
+    """Last known value, else the next known one, in date order.
+
+    What the forward fill leaves open lies before the first known value of the series,
+    so the backward fill is that one value: a frame per series, not one per row.
+    """
+    known = {c: F.last(c, ignorenulls=True).over(so_far()) for c in cols}
+    first = {c: F.first(c, ignorenulls=True).over(entire()) for c in cols}
+    return df.withColumns({c: F.coalesce(known[c], first[c]) for c in cols})
 
 
 def positive_prices(df: DataFrame) -> DataFrame:

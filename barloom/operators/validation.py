@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import ladder
@@ -48,7 +48,7 @@ def match_asof(predictions: DataFrame, bars: DataFrame) -> DataFrame:
     """Forecasts of any date against the first bar strictly after ``made_on``.
 
     Both sides are merged into one date-ordered stream per symbol and the next close
-    is carried back over it, so nothing is paired that does not match. Unlike
+    is carried back over it (newest first, a growing frame), so nothing is paired that does not match. Unlike
     ``match_next_bar`` the forecasts need not fall on a bar.
     """
     quotes = bars.select(
@@ -60,13 +60,11 @@ def match_asof(predictions: DataFrame, bars: DataFrame) -> DataFrame:
         F.lit(None).cast(quotes.schema["quote"].dataType).alias("quote"),
         F.struct(*[c for c in predictions.columns if c != "symbol"]).alias("p"),
     )
-    from pyspark.sql import Window
-
-    ahead = (
-        Window.partitionBy("symbol").orderBy("at", "is_forecast")
-        .rowsBetween(0, Window.unboundedFollowing)
+    later = (
+        Window.partitionBy("symbol").orderBy(F.desc("at"), F.desc("is_forecast"))
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = quotes.unionByName(asks).withColumn("q", F.first("quote", ignorenulls=True).over(ahead))
+    joined = quotes.unionByName(asks).withColumn("q", F.last("quote", ignorenulls=True).over(later))
     hit = joined.filter((F.col("is_forecast") == 1) & F.col("q").isNotNull())
     return hit.select(
         "symbol", *[F.col(f"p.{c}").alias(c) for c in predictions.columns if c != "symbol"],
