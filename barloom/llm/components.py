@@ -15,6 +15,25 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BITMAP_MOST = 1 << 26
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``keys``, and a few more: a filter that runs before a shuffle.
+
+    The keys set bits of a bitmap of at most 8 MB, which is all that is broadcast. The fuller
+    it is the more other rows pass; the join that follows decides.
+    """
+    bits = 1 << 16
+    while bits < min(BITMAP_MOST, 16 * keys.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {bits}) % 64 as int))")
+    words = keys.select(F.floor(place / 64).alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    return df.withColumn("_word", F.floor(place / 64)).join(F.broadcast(words), "_word").where(
+        F.col("_mask").bitwiseAND(mask) != 0).drop("_word", "_mask")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: neighbours above (large) or below (small) move to the least neighbour."""
     if large:

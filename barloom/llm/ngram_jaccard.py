@@ -4,8 +4,8 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 threshold. The join is exact and runs in these steps:
 
 1. One pass over the texts gives every document its set size, a 128-bit set id, a bitmap
-   signature (each shingle sets one of 1,024 bits), a few minimum hashes and, per batch,
-   the shingles that several of its documents share.
+   signature (each shingle flips one of about n bits, 1,024 at least), a few minimum hashes
+   and, per batch, the shingles that several of its documents share.
 2. Documents of equal sets are one class, represented by the smallest doc_id.
 3. Classes with an equal minimum hash are verified against the smallest of them. This only
    saves work: it joins most copies before the exhaustive search.
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.components import components, saved
-from barloom.llm.tokens import WordHashes, binaries, common, mix, rows, set_id, shingle_set, signed
+from barloom.llm.components import components, maybe_in, saved
+from barloom.llm.tokens import common, joined, mix, set_ids, shingle_sets, table
 
 BITS = 1024
 ANCHORS = 6
@@ -43,48 +43,53 @@ BLOCK = 1_000          # classes of one size band that meet in a tile
 LEADER_ROWS = 400      # members verified against one leader in one group
 
 _SALTS = mix(np.arange(1, ANCHORS + 1, dtype=np.uint64)) | np.uint64(1)
-_SKETCH = ("doc_id long, n long, s1 long, s2 long, anchors array<long>, bits binary, "
-           "shared array<long>, held array<long>")
+_LONGS = pa.list_(pa.int64())
+_SKETCH = {"doc_id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "anchors": _LONGS, "bits": pa.binary(),
+           "shared": _LONGS, "held": _LONGS}
+_PAIR = {"a": pa.int64(), "b": pa.int64()}
 
 
 def _bitmap(values):
-    bits = np.zeros(BITS, np.uint8)
-    bits[(values >> np.uint64(20)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).tobytes()
+    """Parities of the members that hash to each bit; as many bits as members, in powers of two from ``BITS``."""
+    width = max(BITS, 1 << (len(values) - 1).bit_length())
+    counts = np.bincount(((values >> np.uint64(20)) % np.uint64(width)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _frame(schema, columns):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
-
-
-_SKETCH_ARROW = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64())),
-                 ("bits", pa.binary()), ("shared", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))]
+def folded(bitmaps: list) -> np.ndarray:
+    """Bitmaps of one tile at the width of the shortest: a longer one is folded by xor, which keeps parities."""
+    width = min(map(len, bitmaps)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), axis=0) for b in bitmaps])
 
 
 def _sketch(batches):
-    cache = WordHashes()
+    """A row for each text, and now and then one with the shingles that several texts of a batch share."""
     for batch in batches:
-        seen, sets, size = set(), [], 0
-        for part in rows(batch):
-            out = []
-            for doc_id, text in zip(part.column(0).to_pylist(), binaries(part.column(1))):
-                values = shingle_set(text, cache)
-                if not len(values):
-                    out.append((doc_id, 0, 0, 0, None, None, None, None))
-                    continue
-                ids = set_id(values)
-                anchors = [signed(int((values * s).min())) for s in _SALTS]
-                out.append((doc_id, len(values), *ids, anchors, _bitmap(values), None, None))
-                if ids not in seen:
-                    seen.add(ids)
-                    sets.append(values)
-                    size += len(values)
+        seen, pool, size = set(), [], 0
+        for row, sets in shingle_sets(batch.column(1)):
+            ids = batch.column(0).slice(row, len(sets))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            n = np.array([len(s) for s in sets], np.int64)
+            s1, s2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+            anchors, bits = [None] * len(sets), [None] * len(sets)
+            if full:
+                values, starts, _ = joined([sets[i] for i in full])
+                s1[full], s2[full] = set_ids(values, starts)
+                least = np.stack([np.minimum.reduceat(values * salt, starts) for salt in _SALTS], axis=1).view(np.int64).tolist()
+                for i, x in zip(full, least):
+                    anchors[i], bits[i] = x, _bitmap(sets[i])
+            none = [None] * len(sets)
+            yield table({"doc_id": ids, "n": n, "s1": s1, "s2": s2, "anchors": anchors, "bits": bits, "shared": none, "held": none}, _SKETCH)
+            for i in full:
+                if (key := (s1[i], s2[i])) not in seen:
+                    seen.add(key)
+                    pool.append(sets[i])
+                    size += len(sets[i])
             if size > 2_000_000:
-                out.append(_held(sets))
-                sets, size = [], 0
-            yield _frame(_SKETCH_ARROW, list(zip(*out)))
-        if sets:
-            yield _frame(_SKETCH_ARROW, list(zip(_held(sets))))
+                yield _held(pool)
+                pool, size = [], 0
+        if pool:
+            yield _held(pool)
 
 
 def _held(sets):
@@ -92,7 +97,8 @@ def _held(sets):
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     counts = np.diff(np.append(starts, len(values)))
     keep = counts >= 3
-    return None, None, None, None, None, None, values[starts[keep]].view(np.int64).tolist(), counts[keep].tolist()
+    row = dict.fromkeys(_SKETCH, [None])
+    return table(row | {"shared": [values[starts[keep]].view(np.int64)], "held": [counts[keep]]}, _SKETCH)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -100,72 +106,82 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+_PACK = np.dtype([("h", "<u4"), ("s", "<i8")])
+_LATE = np.dtype([("h", "<i8"), ("s", "<i8")])
+_PACKS = {"bucket": pa.int64(), "pack": pa.binary()}
+LATE_GROUPS = 64
+
+
 def _entries(frequent, buckets, percent):
-    """Per batch and bucket one packed list of (hash, set id, size); frequent shingles as plain arrays."""
+    """Per slice and bucket one packed list of (hash, set id). Frequent shingles need no grouping
+    by a bucket: they go to extra buckets dealt by hash and set."""
 
     def run(batches):
-        cache, ordered = WordHashes(), frequent.value
+        last = frequent.value
         for batch in batches:
-            seen, packs, held = set(), [], 0
-            for part in rows(batch):
-                for text in binaries(part.column(0)):
-                    values = shingle_set(text, cache)
-                    n = len(values)
-                    if not n or (ids := set_id(values)) in seen:
+            seen, chosen, late, owners, size = set(), [], [], [], 0
+            for _, sets in shingle_sets(batch.column(0)):
+                sets = [s for s in sets if len(s)]
+                if not sets:
+                    continue
+                values, starts, lengths = joined(sets)
+                names, _ = set_ids(values, starts)
+                at = np.minimum(np.searchsorted(last, values), max(len(last) - 1, 0))
+                slow = last[at] == values if len(last) else np.zeros(len(values), bool)
+                for name, own, first, n in zip(names.tolist(), sets, starts.tolist(), lengths.tolist()):
+                    if name in seen:
                         continue
-                    seen.add(ids)
-                    late = np.isin(values, ordered, kind="sort") if len(ordered) else np.zeros(n, bool)
+                    seen.add(name)
+                    mask = slow[first:first + n]
                     length = prefix_length(n, percent)
-                    chosen = np.concatenate([values[~late][:length], values[late]])[:length]
-                    cold = min(length, n - int(late.sum()))
-                    packs.append((chosen, cold, ids[0], n))
-                    held += length
-                if held > 500_000:
-                    yield from _packed(packs, buckets)
-                    packs, held = [], 0
-            yield from _packed(packs, buckets)
+                    cold = own[~mask][:length]
+                    hot = own[mask][:length - len(cold)]
+                    chosen.append(cold)
+                    late.append(hot)
+                    owners.append((name, len(cold), len(hot)))
+                    size += length
+                if size > 500_000:
+                    yield from _packed(chosen, late, owners, buckets)
+                    chosen, late, owners, size = [], [], [], 0
+            if owners:
+                yield from _packed(chosen, late, owners, buckets)
 
     return run
 
 
-_PACK = np.dtype([("h", "<u4"), ("n", "<u4"), ("s", "<i8")])
-_ENTRIES_ARROW = [("bucket", pa.int64()), ("pack", pa.binary()), ("gid", pa.int64()), ("sid", pa.int64()), ("n", pa.int64())]
-
-
-def _packed(packs, buckets):
-    if not packs:
-        return
-    lengths = [c for _, c, _, _ in packs]
-    values = np.concatenate([v[:c] for v, c, _, _ in packs])
-    table = np.empty(len(values), _PACK)
-    table["h"] = values >> np.uint64(32)
-    table["n"] = np.repeat(np.array([n for *_, n in packs], np.uint32), lengths)
-    table["s"] = np.repeat(np.array([s for _, _, s, _ in packs], np.int64), lengths)
-    bucket = (values % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, table = bucket[order], table[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    out = [(int(bucket[a]), table[a:b].tobytes(), None, None, None) for a, b in zip(cut, [*cut[1:], len(bucket)])]
-    for values, cold, s, n in packs:
-        out += [(None, None, int(v), s, n) for v in values[cold:].view(np.int64)]
-    if out:
-        yield _frame(_ENTRIES_ARROW, list(zip(*out)))
-
-
-def _shared_entries(percent):
-    """Of a bucket's entries those of hashes that at least two classes of linkable sizes hold."""
-
-    def run(key, table):
-        data = np.concatenate([np.frombuffer(b, _PACK) for b in table.column("pack").to_pylist()])
+def _packed(chosen, late, owners, buckets):
+    names, cold, hot = (np.array(x, np.int64) for x in zip(*owners))
+    for values, counts, kind in ((np.concatenate(chosen), cold, _PACK), (np.concatenate(late), hot, _LATE)):
+        if not len(values):
+            continue
+        packs = np.empty(len(values), kind)
+        packs["s"] = np.repeat(names, counts)
+        if kind is _PACK:
+            packs["h"] = values >> np.uint64(32)
+            bucket = (values % np.uint64(buckets)).astype(np.int64)
+        else:
+            packs["h"] = values.view(np.int64)
+            bucket = buckets + (mix(values ^ packs["s"].view(np.uint64)) % np.uint64(LATE_GROUPS)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, packs = bucket[order], packs[order]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        yield table({"bucket": bucket[cut], "pack": [packs[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(bucket)])]}, _PACKS)
+
+
+def _shared_entries(buckets):
+    """Of a bucket's entries those of hashes that at least two classes hold; frequent ones pass as they are."""
+
+    def run(key, packs):
+        bucket = key[0].as_py()
+        data = np.concatenate([np.frombuffer(b, _PACK if bucket < buckets else _LATE) for b in packs.column("pack").to_pylist()])
+        if bucket >= buckets:
+            data = np.unique(data)
+            return pa.table({"gid": data["h"].copy(), "sid": data["s"].copy()})
         data = data[np.lexsort((data["s"], data["h"]))]
-        new = np.concatenate([[True], (data["h"][1:] != data["h"][:-1]) | (data["s"][1:] != data["s"][:-1])])
-        data = data[new]
-        first = np.concatenate([[True], data["h"][1:] != data["h"][:-1]])
-        group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        data, group = data[many], group[many]
-        gid = (data["h"].astype(np.int64) << 31) ^ np.int64(key[0].as_py()) if len(data) else np.array([], np.int64)
-        return pa.table({"gid": gid, "sid": data["s"], "n": data["n"].astype(np.int64)})
+        data = data[np.concatenate([[True], (data["h"][1:] != data["h"][:-1]) | (data["s"][1:] != data["s"][:-1])])]
+        group = np.cumsum(np.concatenate([[True], data["h"][1:] != data["h"][:-1]])) - 1
+        data = data[np.bincount(group)[group] > 1]
+        return pa.table({"gid": (data["h"].astype(np.int64) << 31) ^ np.int64(bucket), "sid": data["s"].copy()})
 
     return run
 
@@ -173,37 +189,39 @@ def _shared_entries(percent):
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of those pairs of class representatives whose exact Jaccard reaches ``percent``.
 
-    Texts meet by ``a``; members of an ``a`` with many are split into groups of bounded size.
+    Only texts that occur in a pair are shuffled. They meet by ``a``; members of an ``a`` with
+    many are split into groups of bounded size.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("groups"))
     pairs = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups"))
     needed = pairs.select("a", "salt", F.col("b").alias("rep")).union(
         pairs.select("a", "salt", F.col("a").alias("rep")).distinct())
-    needed = needed.join(classes.select("rep", "s1"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    needed = saved(needed.join(classes.select("rep", "s1"), "rep"), "pair-texts")
+    texts = maybe_in(docs.select(F.col("doc_id").alias("rep"), "text"), needed.select("rep"), "rep")
     met = needed.join(texts, "rep").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("rep") != F.col("a"))
     met = met.select("a", "salt", "rep", "s1", "text")
 
     def run(batches):
-        cache, at, leader = WordHashes(), None, None
+        at, leader = None, None
         for batch in batches:
-            for part in rows(batch):
-                out = []
-                a, salt, rep, s1 = (part.column(i).to_pylist() for i in range(4))
-                for i, text in enumerate(binaries(part.column(4))):
+            for row, sets in shingle_sets(batch.column(4)):
+                found = []
+                a, salt, rep, s1 = (batch.column(i).slice(row, len(sets)).to_pylist() for i in range(4))
+                values, starts, _ = joined([s if len(s) else np.zeros(1, np.uint64) for s in sets])
+                names = set_ids(values, starts)[0].tolist()
+                for i, own in enumerate(sets):
                     if at != (a[i], salt[i]):
                         at, leader = (a[i], salt[i]), None
-                    values = shingle_set(text, cache)
-                    if set_id(values)[0] != s1[i]:
+                    if names[i] != s1[i]:
                         continue
                     if rep[i] == a[i]:
-                        leader = values
+                        leader = own
                     elif leader is not None:
-                        both = common(leader, values)
-                        if 100 * both >= percent * (len(leader) + len(values) - both):
-                            out.append((a[i], rep[i]))
-                if out:
-                    yield _frame([("a", pa.int64()), ("b", pa.int64())], list(zip(*out)))
+                        both = common(leader, own)
+                        if 100 * both >= percent * (len(leader) + len(own) - both):
+                            found.append((a[i], rep[i]))
+                if found:
+                    yield table(dict(zip(_PAIR, zip(*found))), _PAIR)
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
@@ -237,14 +255,13 @@ def _tile_pairs(percent):
 
         def flush():
             tile = np.concatenate([x for x, _ in held])
-            bits = np.concatenate([y for _, y in held])
+            bits = folded([y for _, part in held for y in part])
             block = tile[:, [2, 3, 7]]
             return pairs_of(block, tile[:, 4], tile[:, 5], tile[:, 6], bits, tile[:, 8])
 
         for batch in batches:
             ints = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)], axis=1)
-            raw = b"".join(batch.column(9).to_pylist())
-            bits = np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64)
+            bits = batch.column(9).to_pylist()
             cut = np.flatnonzero(np.concatenate([[True], (ints[1:, :4] != ints[:-1, :4]).any(axis=1)]))
             found = []
             for a, b in zip(cut, [*cut[1:], len(ints)]):
@@ -255,16 +272,16 @@ def _tile_pairs(percent):
                 key = this
                 held.append((ints[a:b], bits[a:b]))
             if found:
-                yield _frame([("a", pa.int64()), ("b", pa.int64())], list(zip(*set(found))))
+                yield table(dict(zip(_PAIR, zip(*set(found)))), _PAIR)
         if held and (found := flush()):
-            yield _frame([("a", pa.int64()), ("b", pa.int64())], list(zip(*set(found))))
+            yield table(dict(zip(_PAIR, zip(*set(found)))), _PAIR)
 
     return run
 
 
 def _crossing_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes that share a prefix entry but no component."""
-    named = members.join(classes.select(F.col("s1").alias("sid"), "rep", "comp"), "sid").select("gid", "n", "rep", "comp")
+    named = members.join(classes.select(F.col("s1").alias("sid"), "rep", "n", "comp"), "sid").select("gid", "n", "rep", "comp")
     crossing = named.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("gid")
     named = named.join(crossing, "gid").distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - 1e-9)
@@ -292,7 +309,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = saved(docs.mapInArrow(_sketch, _SKETCH), "shingle-sketch")
+    sketch = saved(docs.mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, anchors array<long>, bits binary, shared array<long>, held array<long>"), "shingle-sketch")
 
     shared = sketch.where("shared is not null").select(F.explode(F.arrays_zip("shared", "held")).alias("e")).groupBy(
         F.col("e.shared").alias("h")).agg(F.sum("e.held").alias("held")).where(f"held >= {FREQUENT}")
@@ -316,12 +333,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         "rep", "s1", "s2", "n", "bits", F.coalesce("component", "rep").alias("comp")), "near-classes")
 
     buckets = max(1, math.ceil(total * (100 - percent) / 100 / BUCKET_ENTRIES))
-    entries = docs.select("text").mapInArrow(
-        _entries(frequent, buckets, percent), "bucket long, pack binary, gid long, sid long, n long")
-    entries = saved(entries, "prefix-entries")
-    members = entries.where("bucket is not null").select("bucket", "pack").groupBy("bucket").applyInArrow(
-        _shared_entries(percent), "gid long, sid long, n long").union(
-        entries.where("bucket is null").select("gid", "sid", "n").distinct())
+    entries = docs.select("text").mapInArrow(_entries(frequent, buckets, percent), "bucket long, pack binary")
+    members = saved(entries.groupBy("bucket").applyInArrow(_shared_entries(buckets), "gid long, sid long"), "prefix-members")
     pairs = saved(_crossing_pairs(members, classes, percent), "crossing-pairs")
     more = saved(verified(pairs, classes, docs, percent), "crossing-links")
     if more.take(1):

@@ -1,28 +1,40 @@
 """Word and shingle hashing shared by the document operators (numpy inside Spark tasks).
 
-Words are the maximal runs of anything but ASCII white space, A-Z in lower case; a set of
-shingles is a sorted array of distinct 64-bit hashes.
+Words are the maximal runs of anything but ASCII white space, A-Z in lower case. All words of
+a slice of an Arrow column are hashed at once from its bytes: with prefix sums of
+byte * base^position, the hash of a word is a difference of two sums, shifted back by the
+inverse power. A set of shingles is a sorted array of distinct 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from xxhash import xxh64_intdigest
 
-CACHE_WORDS = 300_000  # words whose hash a task remembers; then it starts afresh
 SHINGLE = 5
+SLICE_BYTES = 1 << 20   # texts are hashed in slices of about this size
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x5851F42D4C957F2D
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class WordHashes(dict):
-    """Bytes of a word -> 64-bit hash, with bounded memory."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
+
+_TABLES: dict = {}
+
+
+def _tables(n: int):
+    if _TABLES.get("n", 0) < n:
+        n = max(n, SLICE_BYTES + 4096)
+        _TABLES.update(n=n, up=_powers(_BASE, n), down=_powers(pow(_BASE, -1, 1 << 64), n))
+    return _TABLES["up"], _TABLES["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,9 +46,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: bytes | None, cache: WordHashes) -> np.ndarray:
-    words = (text or b"").lower().split()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE):
+    """``hashes, first``: of all words of texts that lie end to end in ``data``; text i has the words
+    ``first[i]:first[i + 1]``. ``bounds``: where texts begin, and the end of the last. ``breaks``: bytes between words."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    word = ~breaks[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    ends = word.copy()
+    ends[:-1] &= ~word[1:]
+    edges = bounds[:-1][(bounds[:-1] < n) & (bounds[:-1] < bounds[1:])]
+    begins[edges] |= word[edges]
+    ends[edges[1:] - 1] |= word[edges[1:] - 1]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = _tables(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LOWER[data] * up[:n], out=sums[1:])
+    hashes = (sums[stop] - sums[start]) * down[start]
+    hashes = mix(hashes + (stop - start).astype(np.uint64) * _STEP)
+    return hashes, np.searchsorted(start, bounds)
+
+
+def texts(column: pa.Array):
+    """``first row, data, bounds`` of slices of a string column; null is empty, a longer text is a slice by itself."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("")
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        last = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
+        last = min(max(last, row + 1), len(column))
+        yield row, data[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row]
+        row = last
+
+
+def hashed_texts(column: pa.Array):
+    """``first row, hashes, first word of each text`` slice by slice; very long texts are hashed in parts."""
+    for row, data, bounds in texts(column):
+        if len(data) <= 4 * SLICE_BYTES:
+            yield row, *hash_words(data, bounds)
+            continue
+        parts, at = [], 0
+        while at < len(data):
+            stop = min(len(data), at + 2 * SLICE_BYTES)
+            while stop < len(data) and not _SPACE[data[stop]]:
+                stop += 1
+            parts.append(hash_words(data[at:stop], np.array([0, stop - at]))[0])
+            at = stop
+        hashes = np.concatenate(parts)
+        yield row, hashes, np.array([0, len(hashes)])
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -51,20 +116,35 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(text: bytes | None, cache: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    return np.unique(shingles(word_hashes(text, cache), size))
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
 
+def shingle_sets(column: pa.Array, size: int = SHINGLE):
+    """``first row, sets``: the shingle set of every text of a slice."""
+    for row, hashes, first in hashed_texts(column):
+        runs = shingles(hashes, size)
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            out.append(distinct(runs[a:b - size + 1]) if b - a >= size else shingles(hashes[a:b], size))
+        yield row, out
 
-def set_id(values: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit numbers that name a set whatever the order of its members."""
-    a = mix(values ^ np.uint64(0x51ED270B))
-    b = mix(values * np.uint64(0x2545F4914F6CDD1D))
-    return signed(int(np.add.reduce(a))), signed(int(np.add.reduce(b)))
 
+def set_ids(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each set, whatever the order of its members; sets lie end to end and are not empty."""
+    a = np.add.reduceat(mix(values ^ np.uint64(0x51ED270B)), starts)
+    b = np.add.reduceat(mix(values * np.uint64(0x2545F4914F6CDD1D)), starts)
+    return a.view(np.int64), b.view(np.int64)
 
-def signed(x: int) -> int:
-    x &= (1 << 64) - 1
-    return x - (1 << 64) if x >= 1 << 63 else x
+
+def joined(sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``values, starts, lengths`` of sets laid end to end."""
+    lengths = np.array([len(s) for s in sets], np.int64)
+    values = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    return values, np.cumsum(lengths) - lengths, lengths
 
 
 def rows(batch: pa.RecordBatch, size: int = 512):
@@ -73,11 +153,6 @@ def rows(batch: pa.RecordBatch, size: int = 512):
         yield batch.slice(start, size)
 
 
-def binaries(column: pa.Array) -> list:
-    """The UTF-8 bytes of a string column, None for null."""
-    return column.cast(pa.binary()).to_pylist()
-
-
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct numbers."""
     if len(a) > len(b):
@@ -87,3 +162,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int(np.count_nonzero(b[at] == a))
+
+
+def table(columns: dict, schema: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in schema.items()], names=list(schema))
