@@ -4,21 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ngram_jaccard
+from barloom.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql=None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+@query()
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(mixing.MIXTURE_SQL)
+def op5_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+@query()
 def op7_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.repeats(table(spark, sf_dir, "documents"))

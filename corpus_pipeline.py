@@ -4,26 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ngram_jaccard
+from barloom.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality
 from barloom.llm.components import saved
 
-#: No SQL: trained classifier and exact similarity joins; the tests compare with brute force.
+#: No SQL: a trained classifier and exact similarity joins; the tests compare with brute force.
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go, and documents that have nothing else."""
+    return line_dedup.without_repeats(docs)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents the one of the smallest doc_id stays."""
     return ngram_jaccard.one_of_each(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, but for a few edits, go."""
+    return decontaminate.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate asks for."""
+    return mixing.mixed(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_repeated_lines),
     ("n-gram jaccard join", deduplicate),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources", mix_sources),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that remain of ``documents`` after all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows that remain of ``documents`` after all stages, repeated as the mix asks."""
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
