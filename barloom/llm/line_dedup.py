@@ -11,10 +11,10 @@ be told apart and stay; so do blank lines.
 2. Prefix filter: a line of n words can only match lines that share one of its first
    n - ceil(t n) + 1 words. An entry carries the line's place, size and a signature of
    parities, 64 bits and for long lines 256.
-3. Entries meet by word. Equal lines propose the first of them at once, so a line repeated
-   without end costs one entry each. Of the others, length filter, positional filter and the
-   signatures' bit counts bound the overlap from above; each line proposes the ``KEPT`` most
-   similar earlier ones.
+3. Entries meet by word. Lines of equal sets (by size, signature and a check sum of the words)
+   are repeats of the first of them at once, so a line repeated without end costs one row each.
+   Of the others, length filter, positional filter and the signatures' bit counts bound the
+   overlap from above; each line proposes its ``KEPT`` most similar earlier ones, or ``MANY``.
 4. Proposals are verified exactly, the most similar first. A line with more candidates than it
    could propose, none of which held, is compared with all of them in blocks of such lines.
 
@@ -39,12 +39,13 @@ LEAST_WORDS = 5
 LOCAL = 8               # counts of a slice below this are not gathered
 FREQUENT_MOST = 65_536  # words with a rank, the most frequent
 BUCKET_ENTRIES = 300_000
-KEPT = 4
+KEPT, MANY = 4, 64      # candidates that a line proposes in a word's group
+EQUAL = -1              # stands for the difference of lines with equal check sums and signatures
 LONG = 80               # distinct words from which the signature is wide
 BLOCK = 200_000         # lines compared with all their candidates in one run
 
 _NEWLINE = 10
-_RANKED = np.uint64(1) << np.uint64(63)
+_RANKED = np.uint64(1) << np.uint64(40)
 _KINDS = {"h": np.uint32, "n": np.uint32, "at": np.uint32, "line": np.uint32, "doc": np.int64, "check": np.uint32, "bits": np.uint64}
 _PACKS = {"bucket": pa.int64()} | {k: pa.binary() for k in _KINDS} | {"wide": pa.binary()}
 _PACKS_SQL = "bucket long, " + ", ".join(f"`{k}` binary" for k in list(_PACKS)[1:])
@@ -80,23 +81,22 @@ def _lines(column):
 def _counts(batches):
     for batch in batches:
         for _, words, _, _, _ in _lines(batch.column(0)):
-            values, counts = np.unique(words, return_counts=True)
+            values = np.sort(words)
+            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(starts, len(values)))
             keep = counts >= LOCAL
-            yield table({"word": values[keep].view(np.int64), "n": counts[keep]}, {"word": pa.int64(), "n": pa.int64()})
+            yield table({"word": values[starts[keep]].view(np.int64), "n": counts[keep]}, {"word": pa.int64(), "n": pa.int64()})
 
 
-def line_sets(words, first, keys=None):
-    """``line, key`` of the distinct words of every line, sorted by line and key (the words themselves if no keys are given)."""
-    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    keys = words if keys is None else keys
-    if len(first) < 1 << 22:
-        order = np.argsort((line.astype(np.uint64) << np.uint64(41)) | (keys >> np.uint64(23)), kind="stable")
-    else:
-        order = np.lexsort((keys, line))
-    line, keys = line[order], keys[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (keys[1:] != keys[:-1])
-    return line[new], keys[new]
+_KEY = np.uint64(41)   # bits of a word's place in the order; a slice has fewer than 2 ** 23 lines
+_KEY_MASK = (np.uint64(1) << _KEY) - np.uint64(1)
+
+
+def _line_keys(first, keys):
+    """``line, key`` of the distinct words of every line, in the order of line and key."""
+    line = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    both = distinct((line << _KEY) | keys)
+    return (both >> _KEY).astype(np.int64), both & _KEY_MASK
 
 
 def _entries(ranks, buckets, percent):
@@ -108,12 +108,12 @@ def _entries(ranks, buckets, percent):
             held, size = [], 0
             for row, words, first, owner, number in _lines(batch.column(1)):
                 docs = batch.column(0).slice(row, int(owner[-1]) + 1).to_numpy(zero_copy_only=False)
-                keys = mix(words) >> np.uint64(1)
+                keys = mix(words) >> np.uint64(24)   # rare words: 40 bits; the others above them by rank
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
                     known = frequent[at] == words
-                    keys[known] = _RANKED | (place[at[known]] << np.uint64(24))
-                line, keys = line_sets(words, first, keys)
+                    keys[known] = _RANKED | place[at[known]]
+                line, keys = _line_keys(first, keys)
                 n = np.bincount(line, minlength=len(number))
                 starts = np.cumsum(n) - n
                 spread = mix(keys)
@@ -145,7 +145,8 @@ def _entries(ranks, buckets, percent):
 
 def _packed(held):
     whole = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
-    order = np.argsort(whole["bucket"], kind="stable")
+    small = whole["bucket"].max() < 1 << 16
+    order = np.argsort(whole["bucket"].astype(np.uint16) if small else whole["bucket"], kind="stable")
     whole = {k: v[order] for k, v in whole.items()}
     bucket = whole["bucket"]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
@@ -208,46 +209,73 @@ def _proposed(data, later, earlier, apart, more):
                      "apart": apart.astype(np.int32), "more": more})
 
 
+def _equal_classes(data):
+    """Entries in the order by word and size with equal sets together, the earliest first; and which repeat the one before."""
+    rank = np.empty(len(data["h"]), np.int64)
+    rank[np.lexsort((data["line"], data["doc"]))] = np.arange(len(rank))
+    sizes = (data["h"].astype(np.uint64) << np.uint64(32)) | data["n"].astype(np.uint64)
+    name = mix(data["bits"] + (data["check"].astype(np.uint64) << np.uint64(20)) + data["at"].astype(np.uint64))
+    order = np.lexsort((rank, name, sizes))
+    sizes, name = sizes[order], name[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (sizes[1:] == sizes[:-1]) & (name[1:] == name[:-1])
+    return _taken(data, order), same
+
+
+def _nearest(later, earlier, apart, sure):
+    """The nearest ``KEPT`` of each line's candidates, or ``MANY`` if even the nearest is not surely a match; and if there were more."""
+    order = np.lexsort((earlier, apart, later))
+    later, earlier, apart = later[order], earlier[order], apart[order]
+    starts = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
+    counts = np.diff(np.append(starts, len(later)))
+    place = np.arange(len(later)) - np.repeat(starts, counts)
+    most = np.where(apart[starts] <= sure[later[starts]], KEPT, MANY)
+    keep = place < np.repeat(most, counts)
+    return later[keep], earlier[keep], apart[keep], np.repeat(counts > most, counts)[keep]
+
+
 def _proposals(percent):
     def run(packs):
-        data = _unpacked(packs)
-        data = _taken(data, np.lexsort((data["line"], data["doc"], data["check"], data["bits"], data["n"], data["h"])))
-        same = np.zeros(len(data["h"]), bool)
-        same[1:] = np.logical_and.reduce([data[k][1:] == data[k][:-1] for k in ("h", "n", "bits", "check", "at")])
+        data, same = _equal_classes(_unpacked(packs))
         first = np.flatnonzero(~same)
         leader = first[np.cumsum(~same) - 1]
-        copies = np.flatnonzero(same & ((data["doc"] != data["doc"][leader]) | (data["line"] != data["line"][leader])))
-        out = [_proposed(data, copies, leader[copies], np.zeros(len(copies), np.int64), np.zeros(len(copies), bool))]
+        copies = np.flatnonzero(same & (data["at"] == 0) & ((data["doc"] != data["doc"][leader]) | (data["line"] != data["line"][leader])))
+        out = [_proposed(data, copies, leader[copies], np.full(len(copies), EQUAL), np.zeros(len(copies), bool))]
         heads = _taken(data, first)
-        none = 1 << 30
-        best = np.full((len(first), KEPT), none)
-        to = np.full((len(first), KEPT), -1)
-        seen = np.zeros(len(first), np.int64)
-        for later, earlier, apart in _pairs(heads, percent):
-            for side in (later > earlier, later < earlier):  # a line occurs once on each side
-                x, y, value = later[side], earlier[side], apart[side].copy()
-                seen[x] += 1
-                for k in range(KEPT):
-                    better = value < best[x, k]
-                    held, place = best[x, k].copy(), to[x, k].copy()
-                    best[x[better], k], to[x[better], k] = value[better], y[better]
-                    value, y = np.where(better, held, value), np.where(better, place, y)
-        for k in range(KEPT):
-            x = np.flatnonzero(to[:, k] >= 0)
-            out.append(_proposed(heads, x, to[x, k], best[x, k], seen[x] > KEPT))
+        # Below half of the difference that a match may have, the signatures leave little doubt; they say little of very long lines.
+        sure = np.where(heads["n"] < 4 * LONG, (100 - percent) * heads["n"] // (100 + percent), -1)
+        held, size, over = [], 0, np.zeros(len(first), bool)
+
+        def compact():
+            *pairs, more = _nearest(*(np.concatenate(x) for x in zip(*held)), sure)
+            over[pairs[0][more]] = True
+            return [tuple(pairs)]
+
+        for pairs in _pairs(heads, percent):
+            if len(pairs[0]):
+                held.append(pairs)
+                size += len(pairs[0])
+            if size > 2_000_000:
+                held = compact()
+                size = len(held[0][0])
+        if held:
+            later, earlier, apart = compact()[0]
+            out.append(_proposed(heads, later, earlier, apart, over[later]))
         return pa.concat_tables(out)
 
     return run
 
 
 def _all_candidates(percent, wanted):
+    """All earlier candidates of the wanted lines, of equal lines the first."""
+
     def run(packs):
-        data = _unpacked(packs)
-        data = _taken(data, np.lexsort((data["n"], data["h"])))
-        marked = np.isin(_place(data["doc"], data["line"]), wanted.value)
-        out = [_proposed(data, a, b, c, np.zeros(len(a), bool)) for a, b, c in _pairs(data, percent, marked) if len(a)]
+        data, same = _equal_classes(_unpacked(packs))
+        heads = _taken(data, np.flatnonzero(~same))
+        marked = np.isin(_place(heads["doc"], heads["line"]), wanted.value)
         empty = np.zeros(0, np.int64)
-        return pa.concat_tables(out) if out else _proposed(data, empty, empty, empty, np.zeros(0, bool))
+        out = [_proposed(heads, a, b, c, np.zeros(len(a), bool)) for a, b, c in _pairs(heads, percent, marked) if len(a)]
+        return pa.concat_tables(out or [_proposed(heads, empty, empty, empty, np.zeros(0, bool))])
 
     return run
 
@@ -265,17 +293,17 @@ def _word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2).to_pylist()
+            lists = batch.column(2)
+            lists = lists.slice(0)
+            lengths = np.diff(np.asarray(lists.offsets))
+            asked = (np.repeat(np.arange(len(lists)), lengths) << 32) | np.asarray(lists.flatten())
             for row, words, first, owner, number in _lines(batch.column(1)):
-                asked = [set(x) for x in lists[row:row + int(owner[-1]) + 1]]
-                out = []
-                for i, (text, line) in enumerate(zip(owner.tolist(), number.tolist())):
-                    if line in asked[text]:
-                        own = distinct(words[first[i]:first[i + 1]])
-                        mark = int(np.add.reduce(mix(own)).view(np.int64)) if len(own) else 0
-                        out.append((batch.column(0)[row + text].as_py(), line, mark, own.tobytes()))
-                if out:
-                    yield table(dict(zip(schema, zip(*out))), schema)
+                chosen = np.flatnonzero(np.isin((owner + row << 32) | number, asked))
+                sets = [distinct(words[first[i]:first[i + 1]]) for i in chosen]
+                if sets:
+                    marks = [int(np.add.reduce(mix(own)).view(np.int64)) if len(own) else 0 for own in sets]
+                    yield table({"doc": batch.column(0).take(pa.array(owner[chosen] + row)), "line": number[chosen], "s1": marks,
+                                 "words": [own.tobytes() for own in sets]}, schema)
 
     met = candidates.join(wanted, "doc").select("doc", "text", "lines")
     return saved(met.mapInArrow(run, "doc long, line long, s1 long, words binary"), "line-words")
@@ -322,17 +350,19 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = max(1, math.ceil(size / 6 * (100 - percent) / 100 / BUCKET_ENTRIES))
 
     packs = docs.mapInArrow(_entries(ranks, buckets, percent), _PACKS_SQL)
-    found = packs.groupBy("bucket").applyInArrow(_proposals(percent), _PROPOSAL)
-    found = saved(found.groupBy("doc", "line", "to_doc", "to_line").agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "line-proposals")
-    sets = _word_sets(docs, found.select("doc", "line").union(found.select("to_doc", "to_line")))
-
-    nearest = found.groupBy("doc", "line").agg(F.min(F.struct("apart", "to_doc", "to_line")).alias("m")).select(
+    found = saved(packs.groupBy("bucket").applyInArrow(_proposals(percent), _PROPOSAL), "line-proposals")
+    places = ["doc", "line", "to_doc", "to_line"]
+    equal = found.where(f"apart = {EQUAL}").select(*places, F.lit(1.0).alias("jaccard"))
+    near = found.where(f"apart != {EQUAL}").join(equal.select("doc", "line"), ["doc", "line"], "left_anti")
+    near = saved(near.groupBy(places).agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
+    sets = _word_sets(docs, near.select("doc", "line").union(near.select("to_doc", "to_line")))
+    nearest = near.groupBy("doc", "line").agg(F.min(F.struct("apart", "to_doc", "to_line")).alias("m")).select(
         "doc", "line", "m.to_doc", "m.to_line")
     held = saved(_verified(nearest, sets, percent), "line-repeats")
-    left = found.join(held.select("doc", "line"), ["doc", "line"], "left_anti").join(nearest, ["doc", "line", "to_doc", "to_line"], "left_anti")
+    left = near.join(held.select("doc", "line"), ["doc", "line"], "left_anti").join(nearest, places, "left_anti")
     held = held.union(saved(_verified(left, sets, percent), "line-repeats"))
 
-    open_ = saved(found.where("more").select("doc", "line").distinct().join(held.select("doc", "line"), ["doc", "line"], "left_anti"), "open-lines")
+    open_ = saved(near.where("more").select("doc", "line").distinct().join(held.select("doc", "line"), ["doc", "line"], "left_anti"), "open-lines")
     blocks = math.ceil(open_.count() / BLOCK)
     for block in range(blocks):
         asked = open_.where(F.pmod(F.xxhash64("doc", "line"), F.lit(blocks)) == block).toPandas()
@@ -341,6 +371,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             "doc", "line", "to_doc", "to_line").distinct(), "line-candidates")
         own = _word_sets(docs, every.select("doc", "line").union(every.select("to_doc", "to_line")))
         held = held.union(saved(_verified(every, own, percent), "line-repeats"))
+    held = held.union(equal)
     best = held.groupBy("doc", "line").agg(F.max_by(F.struct("to_doc", "to_line", "jaccard"), F.struct("jaccard", -F.col("to_doc"), -F.col("to_line"))).alias("m"))
     return best.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"), F.col("m.to_doc").alias("first_doc_id"),
                        F.col("m.to_line").alias("first_line_no"), F.col("m.jaccard").alias("jaccard"))

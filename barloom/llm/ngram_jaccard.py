@@ -7,8 +7,8 @@ threshold. The join is exact and runs in these steps:
    signature (each shingle flips one of about n bits, 1,024 at least), a few minimum hashes
    and, per batch, the shingles that several of its documents share.
 2. Documents of equal sets are one class, represented by the smallest doc_id.
-3. Classes with an equal minimum hash are verified against the smallest of them. This only
-   saves work: it joins most copies before the exhaustive search.
+3. Each class is verified against the class of smallest doc_id with which it shares most
+   minimum hashes. This only saves work: it joins most copies before the exhaustive search.
 4. Prefix filter: a set of n shingles in a global order (frequent ones last) can only link
    with sets that share one of its first n - ceil(t n) + 1 shingles. These entries travel
    packed by hash range; shingles held by one class alone end there.
@@ -325,8 +325,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     anchored = classes.select("rep", "n", F.posexplode("anchors").alias("k", "anchor"))
     leaders = anchored.groupBy("k", "anchor").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     near = anchored.join(leaders, ["k", "anchor"]).where("rep != lead.rep").where(
-        f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)").select(
-        F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)").groupBy(F.col("rep").alias("b"), F.col("lead.rep").alias("a")).agg(
+        F.count("*").alias("equal")).where("equal > 1")
+    near = near.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
     links = saved(verified(saved(near, "near-pairs"), classes, docs, percent), "near-links")
     joined = components(links)
     classes = saved(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network.
 
-* Every token has a sparse random *index vector* that follows from hashes of its lower-case
-  letters and of its shape (runs of capitals, small letters, digits and marks).
+* Every word and every shape of a token (capitals, small letters, digits, marks) has a sparse
+  random *index vector* that follows from its hash.
 * Random indexing: the *context vector* of a frequent token is the sum of the index vectors
   around it, gathered over a bounded sample of labelled texts.
-* A document is the mean of its tokens' vectors, with its length and its rates of repetition.
+* A token is the index vectors of its shape and, if it is known, its word, with the word's
+  context vector; a document is the mean of its tokens, with its length and rates of repetition.
 * A two-layer numpy network is trained on the sample, and a temperature fitted on a fifth of
   it that training does not see turns its output into a calibrated probability.
 
@@ -31,7 +32,9 @@ SAMPLE = 5_000         # labelled rows the model is fitted on
 VOCABULARY = 20_000    # tokens with a context vector, the most frequent of the sample
 LEAST_COUNT = 5
 HIDDEN = 24
-CACHE_TOKENS = 150_000
+SHRINK = 5
+CACHE_TOKENS = 400_000  # tokens that a task remembers
+CACHE_ROWS = 100_000
 MODULUS, HELD_OUT = 3, 1
 
 
@@ -44,49 +47,54 @@ def _index_vector(name: str) -> np.ndarray:
 
 
 def _shape(token: str) -> str:
-    upper = sum(c.isupper() for c in token)
-    lower = sum(c.islower() for c in token)
-    digits = sum(c.isdigit() for c in token)
-    marks = sorted({c for c in token if not c.isalnum()})
-    kind = ("A" if upper > 1 else "a" if upper == 0 else "Aa") if upper + lower else ""
-    return f"{kind}{'9' if digits else ''}{''.join(marks)}"
+    if token.isalpha():
+        return "a" if token.islower() else "A" if len(token) > 1 and token.isupper() else "Aa"
+    upper = sum(map(str.isupper, token))
+    kind = ("A" if upper > 1 else "Aa" if upper else "a") if token.upper() != token.lower() else ""
+    return f"{kind}{'9' if any(map(str.isdigit, token)) else ''}{''.join(sorted({c for c in token if not c.isalnum()}))}"
 
 
 class Vectors(dict):
-    """Token -> row of ``matrix``; forgets everything when it is full."""
+    """Token -> row of ``matrix``: one row for each shape and known word together, one for each shape of all other words.
+
+    Tokens are forgotten when there are too many, rows when they would outgrow the matrix."""
 
     def __init__(self, contexts: dict):
         super().__init__()
         self.contexts = contexts
-        self.matrix = np.zeros((CACHE_TOKENS, 2 * DIM), np.float32)
+        self.rows: dict = {}
+        self.matrix = np.zeros((CACHE_ROWS, 2 * DIM), np.float32)
 
     def __missing__(self, token):
-        row = len(self)
         letters = token.strip(".,;:!?").lower()
-        self.matrix[row, :DIM] = _index_vector("shape " + _shape(token)) + 0.2 * _index_vector("word " + letters)
         known = self.contexts.get(letters)
-        self.matrix[row, DIM:] = 0 if known is None else known
+        name = (_shape(token), letters if known is not None else "")
+        row = self.rows.get(name)
+        if row is None:
+            row = self.rows[name] = len(self.rows)
+            self.matrix[row, :DIM] = _index_vector("shape " + name[0])
+            self.matrix[row, DIM:] = 0
+            if known is not None:
+                self.matrix[row, :DIM] += 0.2 * _index_vector("word " + letters)
+                self.matrix[row, DIM:] = known
         self[token] = row
         return row
 
     def pooled(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         out = np.zeros(2 * DIM + 4, np.float32)
-        total, n = np.zeros(2 * DIM), len(tokens)
-        repeats = distinct = 0
-        step = CACHE_TOKENS // 2
-        for start in range(0, n, step):
-            part = tokens[start:start + step]
-            if len(self) + len(part) > CACHE_TOKENS:
+        total, n, repeats = np.zeros(2 * DIM), len(tokens), 0
+        for start in range(0, n, CACHE_ROWS // 4):
+            part = tokens[start:start + CACHE_ROWS // 4]
+            if len(self) > CACHE_TOKENS or len(self.rows) + len(part) > CACHE_ROWS:
                 self.clear()
+                self.rows.clear()
             ids = np.fromiter(map(self.__getitem__, part), np.int32, len(part))
-            kinds, counts = np.unique(ids, return_counts=True)
-            total += counts @ self.matrix[kinds]
-            repeats += int(np.count_nonzero(ids[1:] == ids[:-1]))
-            distinct += len(kinds)
+            total += self.matrix[ids].sum(axis=0, dtype=np.float64)
+            repeats += sum(map(str.__eq__, part, part[1:]))
         if n:
             out[:2 * DIM] = total / n
-            out[2 * DIM:] = np.log1p(n), repeats / n, distinct / n, min(1.0, sum(map(len, tokens)) / n / 20)
+            out[2 * DIM:] = np.log1p(n), repeats / n, len(set(tokens)) / n, min(1.0, sum(map(len, tokens)) / n / 20)
         return out
 
 
@@ -122,6 +130,12 @@ def _merged(pdf):
     return pd.DataFrame(out, columns=["token", "n", "vector"])
 
 
+def _standard(x, mean, scale):
+    """Standardised features, drawn to the mean where a text has few tokens: so little of it says little."""
+    n = np.expm1(x[:, 2 * DIM])
+    return (x - mean) / scale * (n / (n + SHRINK))[:, None]
+
+
 def _train(x, y, seed=11, epochs=150):
     """Weights of a network x -> tanh layer -> logit, and the temperature of its logits."""
     rng = np.random.default_rng(seed)
@@ -129,7 +143,7 @@ def _train(x, y, seed=11, epochs=150):
     cut = max(1, len(y) // 5)
     check, train = shuffled[:cut], shuffled[cut:]
     mean, scale = x[train].mean(0), x[train].std(0) + 1e-3
-    z = (x - mean) / scale
+    z = _standard(x, mean, scale)
     w = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v, step = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     for _ in range(epochs):
@@ -177,7 +191,7 @@ def _probabilities(net, prior, x):
     if net is None:
         return np.full(len(x), prior)
     w = net["w"]
-    hidden = np.tanh((x - net["mean"]) / net["scale"] @ w[0] + w[1])
+    hidden = np.tanh(_standard(x, net["mean"], net["scale"]) @ w[0] + w[1])
     return logistic((hidden @ w[2] + w[3]) / net["temperature"])
 
 
