@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import (
-    decontaminate, fingerprints, html_text, language, licenses, line_dedup, mixing, ngram_jaccard, quality, toxicity)
+    decontaminate, fingerprints, html_text, language, licenses, line_dedup, mixing, ngram_jaccard, pii, quality, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,3 +73,8 @@ def op9_quality(spark, sf_dir):
 @query()
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
