@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import (
-    decontaminate, fingerprints, html_text, language, licenses, line_dedup, mixing, ngram_jaccard, pii, quality, toxicity)
+    decontaminate, divergence, fingerprints, html_text, language, licenses, line_dedup, mixing, ngram_jaccard, periodic, pii, quality, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,3 +78,13 @@ def op10_line_dedup(spark, sf_dir):
 @query()
 def op11_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_periodic(spark, sf_dir):
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+@query(divergence.AUDIT_SQL)
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
