@@ -63,12 +63,16 @@ def clean_bars(df: DataFrame, iqr=3.0, column="close", seq=None) -> DataFrame:
 
 
 def coerce_bars(raw: DataFrame, carry=()) -> DataFrame:
-    """All-string bars to typed bars; rows with an unreadable cell are dropped."""
+    """All-string bars to typed bars; rows with a cell that is unreadable or not finite are dropped."""
+    def finite(c):
+        value = F.col(c).try_cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
     typed = raw.select(
         "symbol",
         F.try_to_timestamp(F.col("date")).cast("date").alias("date"),
-        *[F.col(c).try_cast("double").alias(c) for c in PRICE_COLUMNS],
-        F.col("volume").try_cast("double").cast("long").alias("volume"),
+        *[finite(c).alias(c) for c in PRICE_COLUMNS],
+        finite("volume").try_cast("long").alias("volume"),
         *carry,
     )
     return typed.dropna(subset=["date", *PRICE_COLUMNS, "volume"])

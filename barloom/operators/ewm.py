@@ -1,12 +1,15 @@
-"""Exponential moving averages as window sums over calendar blocks.
-
-The recurrence ``y = a*x + (1-a)*y_prev`` is no window frame, but inside a block
-of rows it is a plain running sum of ``x`` weighted by powers of ``1-a``. A block
-is a span of calendar days, so it holds at most that many rows and the powers
-stay inside the double range. What earlier blocks contribute is one number per
-block, folded from the short list of earlier block tails. Every step is a window
-over the same (symbol, block, date) order: one exchange, one sort, no join and
-no Python.
+"""Exponential moving averages as a segmented affine scan over calendar blocks.
+
+The recurrence is an affine map per row. A row with a value maps the average y before it to
+``(w*y + a*x) / (w + a)`` with ``w = (1-a)**steps``, ``steps`` the rows since the last value: 1
+without gaps, where ``w + a`` is 1. A row without a value is the identity: it repeats the average
+before it, and rows before the first value have none.
+
+Inside a block of rows the composed maps are a running sum of ``x`` weighted by powers of ``1-a``
+and, after gaps, by the products of ``w + a``. A block is a span of calendar days, so it holds at
+most that many rows and the powers stay inside the double range. What earlier blocks contribute
+is one map per block, folded from the short list of earlier block tails. Every step is a window
+over the same (symbol, block, date) order: one exchange, one sort, no join and no Python.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def _block():
 
 def _mark(df: DataFrame) -> DataFrame:
     df = df.withColumn("__block", F.floor(F.unix_date("date") / BLOCK_DAYS).cast("int"))
-    df = df.withColumn("__starts_series", F.lag("date").over(_series()).isNull())
+    df = df.withColumn("__row", F.row_number().over(_series()))
     return df.withColumns(
         {
             "__pos": (F.row_number().over(_block()) - 1).cast("double"),
@@ -42,46 +45,83 @@ def _mark(df: DataFrame) -> DataFrame:
 def _average(df: DataFrame, targets: dict[str, tuple[object, int]]) -> DataFrame:
     """Add ``{name: (column, span)}`` averages to a marked frame."""
     keep = df.columns
-    plain = {name: as_col(c) for name, (c, span) in targets.items() if span == 1}
-    decays = {name: 1.0 - 2.0 / (span + 1) for name, (_, span) in targets.items() if span > 1}
-    names = list(decays)
+    so_far = _series().rowsBetween(Window.unboundedPreceding, 0)
+    plain = {name: F.last(as_col(c), ignorenulls=True).over(so_far) for name, (c, span) in targets.items() if span == 1}
+    spans = {name: span for name, (_, span) in targets.items() if span > 1}
+    names = list(spans)
     if not names:
         return df.withColumns(plain)
 
+    # Averages of one column share what depends on its gaps alone.
+    columns, of = {}, {}
+    for name in names:
+        c = targets[name][0]
+        of[name] = c if isinstance(c, str) else name
+        columns.setdefault(of[name], as_col(c))
     growing = _block().rowsBetween(Window.unboundedPreceding, 0)
+    earlier = _series().rowsBetween(Window.unboundedPreceding, -1)
+    valid = {k: c.isNotNull() for k, c in columns.items()}
+    df = df.withColumns(
+        {f"__last_{k}": F.max(F.when(valid[k], F.col("__row"))).over(earlier) for k in columns}
+    )
+    steps = {k: (F.col("__row") - F.col(f"__last_{k}")).cast("double") for k in columns}
+
+    def decay(name):
+        return 1.0 - 2.0 / (spans[name] + 1)
+
+    def norm(name):
+        """w + a of a row with a value; exactly 1 without a gap."""
+        gap = F.pow(F.lit(decay(name)), steps[of[name]]) + (1.0 - decay(name))
+        return F.when(steps[of[name]] > 1, gap).otherwise(1.0)
+
+    # Exponents: the place of the last value in the block, and what the block's first value adds to it.
+    exponents = {}
+    for k in columns:
+        at = F.when(valid[k], F.col("__pos"))
+        exponents[f"__at_{k}"] = F.last(at, ignorenulls=True).over(growing)
+        exponents[f"__lead_{k}"] = F.first(F.when(valid[k], F.coalesce(steps[k], F.lit(0.0)) - F.col("__pos")), ignorenulls=True).over(growing)
+    gaps = {
+        f"__gap_{n}": F.sum(F.when(valid[of[n]], -F.ln(norm(n))).otherwise(0.0)).over(growing) for n in names
+    }
+    df = df.withColumns(exponents | gaps)
+
     local = {}
     for name in names:
-        q = decays[name]
-        weight = F.when(F.col("__starts_series"), 1.0).otherwise(1.0 - q)
-        term = as_col(targets[name][0]) * weight * F.pow(F.lit(q), -F.col("__pos"))
-        local[f"__local_{name}"] = F.pow(F.lit(q), F.col("__pos")) * F.sum(term).over(growing)
+        k, q = of[name], F.lit(decay(name))
+        weight = F.when(F.col(f"__last_{k}").isNull(), 1.0).otherwise((1.0 - decay(name)) / norm(name))
+        term = columns[k] * weight * F.pow(q, -F.col("__pos")) * F.exp(-F.col(f"__gap_{name}"))
+        total = F.sum(term).over(growing)
+        local[f"__local_{name}"] = F.pow(q, F.col(f"__at_{k}")) * F.exp(F.col(f"__gap_{name}")) * total
     df = df.withColumns(local)
 
-    tail = F.struct(
-        (F.col("__pos") + 1).alias("n"), *[F.col(f"__local_{n}").alias(n) for n in names]
-    )
-    earlier = _series().rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__tails", F.collect_list(F.when(F.col("__ends_block"), tail)).over(earlier))
+    def through(name):
+        """The weight that the average before the block still has."""
+        k = of[name]
+        return F.pow(F.lit(decay(name)), F.col(f"__at_{k}") + F.col(f"__lead_{k}")) * F.exp(F.col(f"__gap_{name}"))
+
+    def tail(name):
+        end = F.struct(through(name).alias("weight"), F.col(f"__local_{name}").alias("value"))
+        return F.collect_list(F.when(F.col("__ends_block") & F.col(f"__at_{of[name]}").isNotNull(), end)).over(earlier)
+
+    df = df.withColumns({f"__tails_{n}": tail(n) for n in names})
 
     def carry_in(name):
-        q = F.lit(decays[name])
-        folded = F.aggregate(
-            "__tails", F.lit(0.0), lambda acc, t: acc * F.pow(q, t["n"]) + t[name]
-        )
-        return F.when(F.col("__pos") == 0, folded)
+        tails = F.col(f"__tails_{name}")
+        folded = F.aggregate(tails, F.lit(0.0), lambda acc, t: acc * t["weight"] + t["value"])
+        return F.when((F.col("__pos") == 0) & (F.size(tails) > 0), folded)
 
     df = df.withColumns({f"__enter_{n}": carry_in(n) for n in names})
     df = df.withColumns({f"__carry_{n}": F.first(f"__enter_{n}").over(growing) for n in names})
     done = {
-        n: F.col(f"__local_{n}")
-        + F.pow(F.lit(decays[n]), F.col("__pos") + 1) * F.col(f"__carry_{n}")
+        n: F.when(F.col(f"__at_{of[n]}").isNull(), F.col(f"__carry_{n}")).otherwise(
+            F.col(f"__local_{n}") + F.coalesce(through(n) * F.col(f"__carry_{n}"), F.lit(0.0)))
         for n in names
     }
     return df.withColumns(done | plain).select(*keep, *targets)
 
 
 def ewm(df: DataFrame, *passes: dict[str, tuple[object, int]]) -> DataFrame:
-    """Exponential averages of non-null columns, ``{name: (column, span)}``.
+    """Exponential averages, ``{name: (column, span)}``; a null repeats the average before it.
 
     Later passes may average columns made from the results of earlier ones, as
     the MACD signal line does; all passes share one exchange and one sort.

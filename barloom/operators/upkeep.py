@@ -9,12 +9,17 @@ from pyspark.sql.types import LongType, StructField, StructType
 from barloom.operators.grain import dedupe, latest_date
 
 
-def pending_bars(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming rows newer than the stored series of their symbol; all rows of new symbols."""
+def pending_bars(incoming: DataFrame, stored: DataFrame, seq: str | None = None) -> DataFrame:
+    """Incoming rows newer than the stored series of their symbol; all rows of new symbols.
+
+    Of the copies of a key the last in ``seq`` counts, or the last in the order of the rows.
+    """
     last = stored.groupBy("symbol").agg(F.max("date").alias("__last"))
     joined = incoming.join(last, "symbol", "left")
-    fresh = F.col("__last").isNull() | (F.col("date") > F.col("__last"))
-    return joined.filter(fresh).select(*incoming.columns)
+    fresh = joined.filter(F.col("__last").isNull() | (F.col("date") > F.col("__last"))).select(*incoming.columns)
+    if seq is None:
+        fresh, seq = fresh.withColumn("__seq", F.monotonically_increasing_id()), "__seq"
+    return dedupe(fresh, seq=seq, keep="last").select(*[c for c in incoming.columns if c != seq])
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys, seq: str) -> DataFrame:

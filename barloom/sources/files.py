@@ -5,50 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import symbol_from_path
-from barloom.operators.clean import coerce_bars, min_history
+from barloom.operators.clean import min_history
 from barloom.operators.grain import dedupe
 from barloom.operators.strategies import DEFAULT_STRATEGIES
-from barloom.schema import PRICE_COLUMNS, STRATEGIES
-
-CELLS = [f"c{i}" for i in range(12)]
-WANTED = ["date", *PRICE_COLUMNS, "volume"]
+from barloom.schema import STRATEGIES
+from barloom.sources.bar_csv import scan
 
 
 def read_bar_files(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV per symbol, in any of three header layouts, as typed bars plus ``seq``.
+    """One CSV per symbol, in any known header layout, as typed bars plus ``seq``, the place in the file.
 
-    The files are read headerless in one splittable scan. A file's header is its row
-    that starts with Date or Price and names a close column; ticker and blank rows
-    under it have no readable date and drop out. Headers go back to the rows by file,
-    a join whose small side the optimizer broadcasts only below its own size limit.
-    ``seq`` is the position of the row in its file.
+    ``bar_csv.scan`` also gives the lines and files that were not taken.
     """
-    raw = (
-        spark.read.schema(", ".join(f"{c} string" for c in CELLS))
-        .option("header", False).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-        .csv(path)
-    )
-    placed = raw.select(
-        F.array(*CELLS).alias("cells"),
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"),
-    )
-    names = F.transform("cells", lambda x: F.lower(F.trim(x)))
-    titled = placed.select("file", names.alias("names")).filter(
-        F.col("names")[0].isin("date", "price") & F.array_contains("names", "close")
-    )
-    headers = titled.groupBy("file").agg(F.min("names").alias("names"))
-    first = F.when(F.col("names")[0] == "price", "price").otherwise("date")
-
-    def cell(name):
-        wanted = first if name == "date" else F.lit(name)
-        return F.get("cells", (F.array_position("names", wanted) - 1).cast("int"))
-
-    rows = placed.join(headers, "file").select(
-        symbol_from_path(F.col("file")).alias("symbol"), *[cell(c).alias(c) for c in WANTED], "seq"
-    )
-    return coerce_bars(rows, carry=("seq",))
+    return scan(spark, path).bars
 
 
 def read_bars_csv(spark: SparkSession, path: str, min_rows=None, keep="last") -> DataFrame:

@@ -60,9 +60,9 @@ def refresh_stored_symbols(spark: SparkSession, path: str, incoming: DataFrame,
     _replace_buckets(kept.unionByName(fresh.select(*kept.columns)), path, buckets, "date")
 
 
-def append_pending(spark: SparkSession, path: str, incoming: DataFrame, buckets=BUCKETS) -> None:
-    """Append what is newer than the stored series; running it twice adds nothing."""
-    write_bars(pending_bars(incoming, read_bars(spark, path)), path, buckets, mode="append")
+def append_pending(spark: SparkSession, path: str, incoming: DataFrame, buckets=BUCKETS, seq=None) -> None:
+    """Append what is newer than the stored series, the last copy of a key; running it twice adds nothing."""
+    write_bars(pending_bars(incoming, read_bars(spark, path), seq), path, buckets, mode="append")
 
 
 def upsert_stored(spark, path: str, changes: DataFrame, keys, buckets=BUCKETS, order="prediction_date") -> None:
@@ -78,8 +78,15 @@ def write_retained(spark, path: str, out: str, days: int, as_of=None, buckets=BU
     write_bars(retain(df, days, as_of, date), out, buckets, order=date)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, by: str | None = "symbol") -> None:
+    """CSV with a header, in one folder per value of ``by``; ``read_bar_files`` reads it back.
+
+    The rows of a symbol are brought together first, so that a task writes few folders.
+    """
+    if by is not None:
+        df = df.repartition(by).sortWithinPartitions(by, *[c for c in ("date",) if c in df.columns])
+    writer = df.write.mode("overwrite").option("header", True)
+    (writer if by is None else writer.partitionBy(by)).csv(path)
 
 
 def save_model(model: PipelineModel, path: str, metrics: DataFrame | None = None) -> None:

@@ -8,7 +8,7 @@ from barloom.operators import indicators as ind
 from barloom.operators.ewm import ema, macd, macd_set
 from barloom.plans import features as bundles
 from catalog.registry import (
-    BARS, NUMBERED, SERIES, SO_FAR, TAME, W, bars, div, ema_cte, frame, full, lag, layers, lead, low,
+    BARS, NUMBERED, SERIES, SO_FAR, TAME, W, bars, div, ema_cte, frame, full, gapped_ema_cte, lag, layers, lead, low,
     mean, pct, register, statement, std, tame, top, total,
 )
 
@@ -69,6 +69,31 @@ register(
 )(lambda spark, d: _pick(ema(bars(spark, d), EMA_SPANS), *[f"ema_{n}" for n in EMA_SPANS]))
 
 
+# A quarter of the closes missing, chosen by the bar's volume.
+GAPPED = ("numbered AS (SELECT * REPLACE (CASE WHEN volume % 4 <> 1 THEN close END AS close), "
+          f"row_number() OVER {W} AS rn FROM bars)")
+
+
+def _gapped(spark, d):
+    return bars(spark, d).withColumn("close", F.when(F.col("volume") % 4 != 1, F.col("close")))
+
+
+register(
+    "exponential_moving_averages_with_gaps",
+    statement([BARS, GAPPED, *[gapped_ema_cte(f"e{n}", "numbered", "close", n) for n in EMA_SPANS]],
+              "numbered n " + " ".join(f"JOIN e{n} USING (symbol, rn)" for n in EMA_SPANS), KEY,
+              {f"ema_{n}": f"e{n}.y" for n in EMA_SPANS}),
+)(lambda spark, d: _pick(ema(_gapped(spark, d), EMA_SPANS), *[f"ema_{n}" for n in EMA_SPANS]))
+
+register(
+    "macd_with_gaps",
+    statement([BARS, GAPPED, gapped_ema_cte("x12", "numbered", "close", 12), gapped_ema_cte("x26", "numbered", "close", 26),
+               "line AS (SELECT symbol, rn, x12.y - x26.y AS macd FROM x12 JOIN x26 USING (symbol, rn))", gapped_ema_cte("sig", "line", "macd", 9)],
+              "numbered n JOIN line USING (symbol, rn) JOIN sig USING (symbol, rn)", KEY,
+              {"macd": "line.macd", "macd_signal": "sig.y", "macd_hist": "line.macd - sig.y"}),
+)(lambda spark, d: _pick(macd(_gapped(spark, d)), "macd", "macd_signal", "macd_hist"))
+
+
 def _macd_ctes(settings, scale=""):
     ctes = [NUMBERED]
     spans = sorted({s for f, s_, _ in settings for s in (f, s_)})

@@ -231,4 +231,17 @@ def ema_cte(out, source, x, span):
   FROM {out} r JOIN {source} s ON s.symbol = r.symbol AND s.rn = r.rn + 1)"""
 
 
+def gapped_ema_cte(out, source, x, span):
+    """The same over a column with nulls: a null keeps the average and lets its weight decay."""
+    a = f"(2.0 / {span + 1})"
+    return f"""{out} AS (
+  SELECT symbol, rn, CAST({x} AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w FROM {source} WHERE rn = 1
+  UNION ALL
+  SELECT s.symbol, s.rn,
+         CASE WHEN s.{x} IS NULL THEN r.y WHEN r.y IS NULL THEN s.{x}
+              ELSE ((1 - {a}) * r.w * r.y + {a} * s.{x}) / ((1 - {a}) * r.w + {a}) END,
+         CASE WHEN s.{x} IS NULL THEN r.w * (1 - {a}) ELSE 1 END
+  FROM {out} r JOIN {source} s ON s.symbol = r.symbol AND s.rn = r.rn + 1)"""
+
+
 NUMBERED = f"numbered AS (SELECT *, row_number() OVER {W} AS rn FROM bars)"

@@ -39,6 +39,48 @@ def test_macd_signal_is_an_average_of_the_line(make_bars, walk):
         assert np.allclose(part["macd_signal"], line.ewm(span=9, adjust=False).mean(), atol=1e-9)
 
 
+def _with_gaps(make_bars, values):
+    df = make_bars({"A": [0.0 if v is None else v for v in values]})
+    wanted = [i for i, v in enumerate(values) if v is None]
+    gone = F.datediff("date", F.lit("2020-01-01").cast("date")).isin(wanted) if wanted else F.lit(False)
+    return df.withColumn("close", F.when(~gone, F.col("close")))
+
+
+GAPS = {
+    "one": lambda w: [None if i == 2 else v for i, v in enumerate(w[:40])],
+    "leading": lambda w: [None if i < 30 else v for i, v in enumerate(w[:90])],
+    "every other": lambda w: [None if i % 2 else v for i, v in enumerate(w[:1200])],
+    "whole blocks": lambda w: [None if 300 <= i < 1500 else v for i, v in enumerate(w)],
+    "trailing": lambda w: [None if i >= 500 else v for i, v in enumerate(w[:700])],
+    "random": lambda w: [None if (i * 7919) % 11 < 4 else v for i, v in enumerate(w)],
+    "nothing": lambda w: [None] * 50,
+}
+
+
+@pytest.mark.parametrize("kind", list(GAPS))
+def test_average_over_gaps_equals_recurrence(make_bars, walk, kind):
+    values = GAPS[kind](walk)
+    df = ema(_with_gaps(make_bars, values), (1, 2, 12, 200)).orderBy("date").toPandas()
+    s = pd.Series(values, dtype=float)
+    for span in (1, 2, 12, 200):
+        want = s.ewm(span=span, adjust=False).mean()
+        assert np.allclose(df[f"ema_{span}"].astype(float), want, rtol=0, atol=1e-9, equal_nan=True), span
+
+
+def test_null_is_the_identity_of_a_constant_series(make_bars):
+    got = _column(ema(_with_gaps(make_bars, [10.0, 10.0, None, 10.0, 10.0]), (3,)), "ema_3")
+    assert list(got) == [10.0] * 5
+
+
+def test_macd_over_gaps(make_bars, walk):
+    values = GAPS["random"](walk)
+    df = macd(_with_gaps(make_bars, values)).orderBy("date").toPandas()
+    s = pd.Series(values, dtype=float)
+    line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
+    assert np.allclose(df["macd"], line, atol=1e-9, equal_nan=True)
+    assert np.allclose(df["macd_signal"], line.ewm(span=9, adjust=False).mean(), atol=1e-9, equal_nan=True)
+
+
 def test_two_inputs_in_one_pass(make_bars, walk):
     df = ewm(make_bars({"A": walk}), {"c": ("close", 5), "v": (F.col("volume").cast("double"), 9)})
     v = pd.Series(range(100, 100 + len(walk))).ewm(span=9, adjust=False).mean()
