@@ -71,8 +71,15 @@ def test_base_spans_of_random_texts(spark):
 
 
 def test_long_texts(spark):
-    texts = ["9" * 200_000, "a" * 200_000, "a@b.cd " * 30_000, "1 " * 100_000, "1.2.3.4 " * 20_000, "(" * 50_000 + "+1" + "(" * 50_000, "a.b-" * 60_000 + "@"]
-    check_base(texts, results(spark, texts))
+    # The plain scan is quadratic in some of these, so what they hold is stated instead.
+    texts = {"9" * 200_000: (0, 0), "a" * 200_000: (0, 0), "a@b.cd " * 30_000: (30_000, 0), "1 " * 100_000: (0, 0), "1.2.3.4 " * 20_000: (0, 20_000),
+             "(" * 50_000 + "+1" + "(" * 50_000: (0, 0), "a.b-" * 60_000 + "@": (0, 0), "x" * 100_000 + "@b.cd": (1, 0)}
+    got = results(spark, list(texts))
+    for i, (text, (emails, ips)) in enumerate(texts.items()):
+        assert (got[i]["n_email"], got[i]["n_ip"], got[i]["n_card"], got[i]["n_phone"]) == (emails, ips, 0, 0), text[:20]
+        base = [f"email:{7 * k}:{7 * k + 6}" for k in range(emails)] if emails > 1 else [f"ip:{8 * k}:{8 * k + 7}" for k in range(ips)]
+        if base:
+            assert got[i]["spans"].split(",") == base
 
 
 def _corpus():
@@ -106,6 +113,7 @@ def test_trees_add_what_the_base_cannot_part(spark):
     assert got[n + 1]["spans"] == f"secret:5:{5 + len(secret)}"
     assert got[n + 2]["spans"] == ""
     assert all(got[i]["spans"] == "" for i, t in enumerate(texts) if t.startswith(("version", "page")))
+    assert results(spark, texts + extra) == got  # reruns agree
 
 
 def test_without_the_trees_nothing_is_added(spark, monkeypatch):
@@ -115,12 +123,6 @@ def test_without_the_trees_nothing_is_added(spark, monkeypatch):
     assert got[len(texts)]["spans"] == ""
 
 
-def test_reruns_agree(spark):
-    texts, card, phone = _corpus()
-    texts.append(f"call {phone} {card} and on")
-    assert results(spark, texts) == results(spark, texts)
-
-
 def test_empty_table_repeated_rows_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.digest(empty).count() == 0
