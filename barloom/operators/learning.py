@@ -23,6 +23,7 @@ from barloom.functions.scalars import clip
 from barloom.functions.series import ratio
 from barloom.operators.clean import date_cutoff, feature_columns, training_rows
 from barloom.operators.forecast import regression_metrics
+from barloom.operators.quantiles import robust_scaled
 from barloom.operators.upkeep import symbol_codes
 from barloom.plans.features import UNIVERSAL_EXCLUDED, features_universal
 from barloom.shared import fresh_path
@@ -181,7 +182,9 @@ def importance(fitted: FittedModels, name: str, spark) -> DataFrame:
 
 
 def scaled_columns(df: DataFrame, features: list[str], kind="standard") -> DataFrame:
-    """Scaled copies of the features as ordinary columns."""
+    """Scaled copies of the features as ordinary columns; the robust kind by exact quartiles."""
+    if kind == "robust":
+        return robust_scaled(df, features, ["symbol", "date"])
     assembled = VectorAssembler(inputCols=features, outputCol="assembled").transform(df)
     out = scaler(kind).fit(assembled).transform(assembled).withColumn("__v", vector_to_array("features"))
     return out.select("symbol", "date", *[F.col("__v")[i].alias(f) for i, f in enumerate(features)])

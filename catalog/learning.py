@@ -30,7 +30,8 @@ def _(spark, d):
     return ml.scaled_columns(tame(spark, d), SCALED, "minmax")
 
 
-@register("robust_scaling")
+@register("robust_scaling", statement(TAME, "bars", "symbol, date",
+          {c: f"({c} - quantile_cont({c}, 0.5) OVER ()) / (quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER ())" for c in SCALED}))
 def _(spark, d):
     return ml.scaled_columns(tame(spark, d), SCALED, "robust")
 
