@@ -69,15 +69,46 @@ def _merged(a, b, na: int, nb: int):
     )
 
 
+def _merge_plan(windows) -> dict[int, tuple[int, int] | None]:
+    """How the sums of every window are put together: from the sums of two shorter ones, or (up to 5 rows) directly.
+
+    A window of 5, 10, 20, 40, ... rows is split in halves, any other at the greatest of these below it.
+    """
+    plan: dict[int, tuple[int, int] | None] = {}
+
+    def need(n):
+        if n in plan:
+            return
+        if n <= DIRECT:
+            plan[n] = None
+            return
+        left = DIRECT
+        while 2 * left < n:
+            left *= 2
+        need(left)
+        need(n - left)
+        plan[n] = (left, n - left)
+
+    for n in windows:
+        if n < 2:
+            raise ValueError(f"a window has at least two rows, not {n}")
+        need(n)
+    return plan
+
+
+DIRECT = 5
+
+
 def central_moments(c: str, windows):
-    """Layers with mean and central power sums of the last 5, 10, 20 or 50 rows.
+    """Layers with mean and central power sums of the last n rows for any windows n.
 
-    Five rows are summed directly from lagged values; wider windows merge the
-    sums of disjoint halves, looked up at a lag. That takes a dozen lookups a row
+    Up to five rows are summed directly from lagged values; wider windows merge the
+    sums of two disjoint parts, looked up at a lag. That takes a dozen lookups a row
     where a sliding moment aggregate is re-run over the whole frame, and deviations
     are always taken from a local mean, so nothing cancels.
     """
     parts = ("mean", "m2", "m3", "m4")
+    plan = _merge_plan(windows)
 
     def at(n, lag=0):
         names = [f"__{c}_{n}_{p}" for p in parts]
@@ -86,37 +117,46 @@ def central_moments(c: str, windows):
     def named(n, values):
         return {f"__{c}_{n}_{p}": v for p, v in zip(parts, values)}
 
-    plans = {
-        10: (lambda: _merged(at(5), at(5, 5), 5, 5)),
-        20: (lambda: _merged(at(10), at(10, 10), 10, 10)),
-        40: (lambda: _merged(at(20), at(20, 20), 20, 20)),
-        50: (lambda: _merged(at(40), at(10, 40), 40, 10)),
-    }
-    unknown = set(windows) - {5, *plans}
-    if unknown:
-        raise ValueError(f"no merge plan for windows {sorted(unknown)}")
-    lags = [f"__{c}_back_{k}" for k in range(1, 5)]
+    direct = sorted(n for n in plan if plan[n] is None)
+    lags = [f"__{c}_back_{k}" for k in range(1, max(direct))]
     gaps = [_c(x) - _c(c) for x in lags]
-    center = sum(gaps[1:], gaps[0]) / 5
-    devs = [-_c(f"__{c}_shift"), *[g - _c(f"__{c}_shift") for g in gaps]]
-
-    def power(k):
-        terms = []
-        for d in devs:
-            term = d
-            for _ in range(k - 1):
-                term = term * d
-            terms.append(term)
-        return sum(terms[1:], terms[0])
+
+    def shift(n):
+        return f"__{c}_shift_{n}"
+
+    def center(n):
+        return sum(gaps[1:n - 1], gaps[0]) / n if n > 1 else F.when(_c(c).isNotNull(), 0.0)
+
+    def summed(n):
+        devs = [-_c(shift(n)), *[g - _c(shift(n)) for g in gaps[:n - 1]]]
+
+        def power(k):
+            terms = []
+            for d in devs:
+                term = d
+                for _ in range(k - 1):
+                    term = term * d
+                terms.append(term)
+            return sum(terms[1:], terms[0])
+
+        return named(n, [_c(c) + _c(shift(n)), power(2), power(3), power(4)])
 
     layers = [
         {x: prev(c, k) for k, x in enumerate(lags, 1)},
-        {f"__{c}_shift": center},
-        named(5, [_c(c) + _c(f"__{c}_shift"), power(2), power(3), power(4)]),
+        {shift(n): center(n) for n in direct},
+        {name: col for n in direct for name, col in summed(n).items()},
     ]
-    for n, plan in plans.items():
-        if n <= max(windows):
-            layers.append(named(n, plan()))
+    # Levels: a window comes after both of its parts.
+    levels = {n: 0 for n in direct}
+    while len(levels) < len(plan):
+        ready = {n: 1 + max(levels[x] for x in two) for n, two in plan.items() if n not in levels and all(x in levels for x in two)}
+        levels |= ready
+    for level in range(1, max(levels.values()) + 1):
+        layer = {}
+        for n in sorted(k for k, v in levels.items() if v == level):
+            left, right = plan[n]
+            layer |= named(n, _merged(at(left), at(right, left), left, right))
+        layers.append(layer)
     return layers
 
 
@@ -418,7 +458,7 @@ def realised_vol_recipe(windows=(10, 20, 50)):
 
 
 def moment_recipe(cols=("close", "returns"), windows=(5, 10, 20)):
-    """Bias-corrected rolling skewness and excess kurtosis (windows 5, 10, 20)."""
+    """Bias-corrected rolling skewness and excess kurtosis, for windows of at least four rows."""
     out, recipes = {}, []
     for c in cols:
         recipes.append(central_moments(c, windows))

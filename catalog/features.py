@@ -170,6 +170,24 @@ add("bollinger_squeeze", lambda: ind.squeeze_recipe(BANDS),
      {f"bb_squeeze_{n}": f"coalesce(bb_width_{n} < edge{n}, false)" for n, _ in BANDS}],
     {}, flags=[f"bb_squeeze_{n}" for n, _ in BANDS])
 
+
+def _band_steps(bands):
+    return [
+        {f"bb_middle_{n}": mean("close", n) for n, _ in bands} | {f"sd{n}": std("close", n) for n, _ in bands},
+        {f"bb_upper_{n}": f"bb_middle_{n} + {k} * sd{n}" for n, k in bands}
+        | {f"bb_lower_{n}": f"bb_middle_{n} - {k} * sd{n}" for n, k in bands},
+        {f"bb_width_{n}": div(f"bb_upper_{n} - bb_lower_{n}", f"bb_middle_{n}") for n, _ in bands},
+    ]
+
+
+ANY = (7, 30, 63)
+ANY_BANDS = tuple((n, 2.0) for n in ANY)
+add("bollinger_any_window", lambda: ind.squeeze_recipe(ANY_BANDS, window=13),
+    [*_band_steps(ANY_BANDS),
+     {f"edge{n}": full(13, f"quantile_cont(bb_width_{n}, 0.1)", f"bb_width_{n}") for n in ANY},
+     {f"bb_squeeze_{n}": f"coalesce(bb_width_{n} < edge{n}, false)" for n in ANY}],
+    {c: c for n in ANY for c in (f"bb_middle_{n}", f"bb_upper_{n}", f"bb_lower_{n}", f"bb_width_{n}")}, flags=[f"bb_squeeze_{n}" for n in ANY])
+
 PREV = {"pc": lag("close"), "ph": lag("high"), "pl": lag("low")}
 TR = "greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0))"
 add("average_true_range", lambda: ind.atr_recipe(14), [PREV, {"tr": TR}], {"atr_14": mean("tr", 14)})
@@ -258,6 +276,13 @@ def _moment(kind, x, n):
 add("rolling_moments", lambda: ind.moment_recipe(), [RET],
     {f"{c}_{short}_{n}": _moment(kind, c, n) for c in ("close", "returns") for n in (5, 10, 20)
      for short, kind in (("skew", "skewness"), ("kurt", "kurtosis"))}, digits=5, source=tame, base=TAME)
+add("realised_volatility_any_window", lambda: ind.realised_vol_recipe(ANY),
+    [RET | {"span": "high - low"}, {f"realized_vol_{n}": f"sqrt(252) * {std('returns', n)}" for n in (*ANY, 20)}],
+    {f"realized_vol_{n}": f"realized_vol_{n}" for n in ANY} | {f"range_vol_{n}": std("span", n) for n in ANY}
+    | {f"volatility_ratio_{n}": div(f"realized_vol_{n}", "realized_vol_20") for n in ANY})
+add("rolling_moments_any_window", lambda: ind.moment_recipe(windows=(7, 30, 63)), [RET],
+    {f"{c}_{short}_{n}": _moment(kind, c, n) for c in ("close", "returns") for n in ANY
+     for short, kind in (("skew", "skewness"), ("kurt", "kurtosis"))}, digits=5, source=tame, base=TAME)
 add("intrabar_ratios", lambda: [{"high_low_ratio": F.col("high") / (F.col("low") + 1e-10), "close_open_ratio": F.col("close") / (F.col("open") + 1e-10)}],
     [{"one": "1"}], {"high_low_ratio": "high / (low + 1e-10)", "close_open_ratio": "close / (open + 1e-10)"})
 SMAS = (5, 10, 20, 50)

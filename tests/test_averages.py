@@ -98,6 +98,24 @@ def test_rolling_moments_equal_pandas(make_bars, walk):
         assert np.allclose(_column(df, f"close_kurt_{n}"), kurt, atol=1e-8, equal_nan=True)
 
 
+def test_moments_of_any_window_equal_pandas(make_bars, walk):
+    windows = (4, 6, 7, 23, 30, 63, 250)
+    values = [None if i == 700 else v for i, v in enumerate(walk)]
+    df = indicator(_with_gaps(make_bars, values), ind.moment_recipe(("close",), windows)).orderBy("date").toPandas()
+    s = pd.Series(values, dtype=float)
+    for n in windows:
+        skew = s.rolling(n).apply(lambda x: pd.Series(x).skew())
+        kurt = s.rolling(n).apply(lambda x: pd.Series(x).kurt())
+        assert np.allclose(df[f"close_skew_{n}"].astype(float), skew, atol=1e-7, equal_nan=True), n
+        assert np.allclose(df[f"close_kurt_{n}"].astype(float), kurt, atol=1e-6, equal_nan=True), n
+
+
+def test_merge_plans_are_short():
+    for n in range(2, 1000):
+        plan = ind._merge_plan([n])
+        assert len(plan) <= 20 and all(a + b == k for k, two in plan.items() if two for a, b in [two])
+
+
 def test_long_sums_equal_plain_rolling(make_bars, walk):
     df = indicator(make_bars({"A": walk}), ind.sma_recipe((5, 20, 50, 100, 200)))
     for n in (5, 20, 50, 100, 200):
