@@ -128,6 +128,17 @@ def feature_columns(df: DataFrame, exclude=()) -> list[str]:
     return [c for c in df.columns if c not in raw | set(exclude) and not c.startswith("target")]
 
 
+def features_or_zero(df: DataFrame, features) -> DataFrame:
+    """The features as doubles: those the table lacks, and missing or infinite values, are 0."""
+    def filled(name):
+        if name not in df.columns:
+            return F.lit(0.0)
+        value = F.col(name).cast("double")
+        return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), value).otherwise(0.0)
+
+    return df.withColumns({f: filled(f) for f in features})
+
+
 def ordered_split(df: DataFrame, train=0.8) -> DataFrame:
     """Adds ``part``: 'train' for the first ``int(n*train)`` rows of a symbol, else 'test'."""
     rn = F.row_number().over(series())

@@ -7,6 +7,7 @@ times.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from itertools import combinations, product
 
@@ -94,8 +95,25 @@ class FittedModels:
     models: dict[str, PipelineModel]
     weights: dict[str, float] = field(default_factory=dict)
 
+    def save(self, path: str, spark) -> None:
+        """The preparation once, every model, and features, label and weights as one JSON line."""
+        prepare = PipelineModel(next(iter(self.models.values())).stages[:-1])
+        prepare.write().overwrite().save(f"{path}/prepare")
+        for name, model in self.models.items():
+            PipelineModel([model.stages[-1]]).write().overwrite().save(f"{path}/models/{name}")
+        about = {"features": self.features, "label": self.label, "models": list(self.models), "weights": self.weights}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str, spark) -> FittedModels:
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        prepare = PipelineModel.load(f"{path}/prepare").stages
+        models = {n: PipelineModel([*prepare, *PipelineModel.load(f"{path}/models/{n}").stages]) for n in about["models"]}
+        return cls(about["features"], about["label"], models, about["weights"])
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds one ``prediction_<model>`` column per model, assembling and scaling once."""
+        """Adds one ``prediction_<model>`` column per model, assembling and scaling once; features the table lacks are 0."""
+        df = df.withColumns({f: F.lit(0.0) for f in self.features if f not in df.columns})
         prepare = PipelineModel(next(iter(self.models.values())).stages[:-1])
         out = prepare.transform(df)
         for name, model in self.models.items():

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from barloom.operators import validation as val
 from barloom.operators.upkeep import pending_bars
 from barloom.sources.store import BUCKETS, write_bars
+from barloom.sources.versions import VersionedBars
 
 
 def bar_stream(spark: SparkSession, path: str, schema, fmt="parquet", **options) -> DataFrame:
@@ -43,6 +44,18 @@ def stream_ingest(stream: DataFrame, table: str, checkpoint: str, buckets=BUCKET
     return _start(stream.writeStream.foreachBatch(absorb), checkpoint, available_now)
 
 
+def stream_into_versions(stream: DataFrame, path: str, checkpoint: str, available_now=True, **table):
+    """Append arriving bars to a versioned table: a batch reads the table's metadata, never its bars.
+
+    A replayed batch finds its rows in the metadata and commits nothing.
+    """
+
+    def absorb(batch: DataFrame, _: int) -> None:
+        VersionedBars(batch.sparkSession, path, **table).append(batch)
+
+    return _start(stream.writeStream.foreachBatch(absorb), checkpoint, available_now)
+
+
 def running_metadata(stream: DataFrame) -> DataFrame:
     return stream.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("record_count"),

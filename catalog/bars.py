@@ -336,7 +336,8 @@ def _(spark, d):
     "refresh_symbols",
     statement(
         [BARS, SPLIT, """incoming AS (SELECT * FROM batch WHERE date >= DATE '2001-09-01'),
-          r AS (SELECT * FROM stored WHERE symbol NOT IN (SELECT symbol FROM incoming) UNION ALL SELECT * FROM incoming)"""],
+          named AS (SELECT DISTINCT symbol FROM incoming),
+          r AS (SELECT s.* FROM stored s ANTI JOIN named n ON s.symbol = n.symbol UNION ALL SELECT * FROM incoming)"""],
         "r", "symbol, date, volume", PRICES),
 )
 def _(spark, d):

@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from barloom.functions.series import series
+from barloom.functions.series import nxt, prev, series
+from barloom.operators.clean import feature_columns, features_or_zero, rename_columns
+from barloom.operators.strategies import adjust_strategies
 from barloom.shared import fresh_path
 from barloom.sources import bar_csv, files, store
 from barloom.sources.versions import VersionedBars
 from catalog.bars import SPLIT, stored_and_batch
-from catalog.forecasts import MADE
-from catalog.registry import BAR_COLS, BARS, W, bars, forecasts, register, statement
+from catalog.forecasts import ADJUST_NUM, ADJUST_SQL, BOOK_SQL, MADE
+from catalog.registry import BARS, VALIDATION_CTES, W, bars, forecasts, lag, lead, register, scored, statement
 
 PRICES = ["open", "high", "low", "close"]
 CELLS = ["date", *PRICES, "volume"]
@@ -134,6 +136,36 @@ def _(spark, d):
     return rows.withColumn("status", F.col("validation.status")).drop("validation")
 
 
+@register("strategies_round_trip", statement([VALIDATION_CTES, BOOK_SQL, ADJUST_SQL], "adjusted", "name, enabled", ADJUST_NUM))
+def _(spark, d):
+    path = fresh_path(spark, "strategies")
+    files.write_strategies(adjust_strategies(scored(spark, d)), path)
+    return files.read_strategies(spark, path)
+
+
+# --- columns ------------------------------------------------------------------------
+
+@register("columns_renamed", statement(BARS, "bars", "symbol, date, volume AS traded", PRICES))
+def _(spark, d):
+    df = bars(spark, d)
+    loud = df.withColumnsRenamed({c: f" {c.title()} " for c in df.columns if c != "volume"} | {"volume": "Volume Traded"})
+    return rename_columns(loud, {"Volume Traded": "traded"})
+
+
+@register("feature_columns_kept", statement([BARS, f"t AS (SELECT *, {lag('close')} AS close_lag_1, {lead('close')} AS target FROM bars)"], "t", "symbol, date",
+                                            {"close_lag_1": "close_lag_1"}))
+def _(spark, d):
+    df = bars(spark, d).withColumns({"close_lag_1": prev("close"), "target": nxt("close"), "note": F.lit(1.0)})
+    return df.select("symbol", "date", *feature_columns(df, exclude=["note"]))
+
+
+@register("missing_features_as_zero", statement([BARS, f"t AS (SELECT *, {lag('close')} AS close_lag_1 FROM bars)"], "t", "symbol, date",
+                                                {"close_lag_1": "coalesce(close_lag_1, 0)", "rsi_14": "0", "close": "close"}))
+def _(spark, d):
+    df = bars(spark, d).withColumn("close_lag_1", prev("close"))
+    return features_or_zero(df, ["close_lag_1", "rsi_14", "close"]).select("symbol", "date", "close_lag_1", "rsi_14", "close")
+
+
 # --- versioned store ------------------------------------------------------------------------
 
 SYNCED = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]

@@ -138,3 +138,20 @@ def _(spark, d):
     save_model(fitted.models["ridge"], path, ml.evaluate(fitted, df))
     again = load_model(path).transform(ml.latest_complete(df, feats))
     return again.select("symbol", "date", "close", F.col("prediction").alias("predicted_price"))
+
+
+@register("saved_ensemble_forecasts")
+def _(spark, d):
+    """A weighted ensemble, weighted on a validation part, saved and loaded; scored rows lack one feature."""
+    from barloom.shared import fresh_path
+
+    df = ml.materialised(features_ensemble(tame(spark, d)))
+    feats = feature_columns(df)
+    train, rest = ml.split_at_date(df, 0.6)
+    validation, test = ml.split_at_date(rest, 0.5)
+    fitted = ml.fit(train, feats, "target", {"ridge": {}, "lasso": {}})
+    path = fresh_path(spark, "ensemble")
+    ml.weigh(fitted, ml.evaluate(fitted, validation)).save(path, spark)
+    again = ml.FittedModels.load(path, spark)
+    complete = ml.training_rows(test, feats).drop(feats[-1])
+    return again.transform(complete).select("symbol", "date", ml.combined(again).alias("predicted_price"))

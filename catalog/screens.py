@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from barloom.operators import forecast as fc
 from barloom.operators import screens as sc
+from barloom.operators import sketches as sk
 from barloom.operators import validation as val
+from barloom.shared import fresh_path
 from catalog.registry import (
     BARS, DESC, FORECAST_CTE, SERIES, TAME, W, as_of, bars, div, forecasts, frame, lag, layers, mean, pct, register,
     statement, tame,
@@ -220,6 +222,23 @@ def _(spark, d):
     return sc.table_stats(bars(spark, d), approximate=True)
 
 
+@register("sketched_table_stats", statement(BARS, "bars", """count(*) AS total_records, min(date) AS min_date, max(date) AS max_date,
+  true AS symbols_within_bound, true AS quantiles_within_bound"""))
+def _(spark, d):
+    """Sketches by month of the older bars, kept as a table; newer bars are added without reading the older ones again."""
+    df = bars(spark, d)
+    month = F.trunc("date", "month")
+    path = fresh_path(spark, "sketches")
+    sk.sketch(df.filter("date < DATE '1997-01-15'"), month).write.parquet(path)
+    r = sk.statistics(sk.merged(spark.read.parquet(path), sk.sketch(df.filter("date >= DATE '1997-01-15'"), month))).first()
+    shares = {"close_q25": 0.25, "close_q50": 0.5, "close_q75": 0.75}
+    near = [F.abs(F.count_if(F.col("close") <= F.lit(r[c])) / F.count(F.lit(1)) - q) <= sk.RANK_BOUND for c, q in shares.items()]
+    symbols = F.count_distinct("symbol")
+    checked = df.agg((F.abs(F.lit(r["total_stocks"]) - symbols) <= sk.SYMBOL_BOUND * symbols).alias("symbols_within_bound"),
+                     (near[0] & near[1] & near[2]).alias("quantiles_within_bound"))
+    return checked.select(*[F.lit(r[c]).alias(c) for c in ("total_records", "min_date", "max_date")], "symbols_within_bound", "quantiles_within_bound")
+
+
 @register(
     "quality_report",
     statement(
