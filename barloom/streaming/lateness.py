@@ -29,54 +29,56 @@ STATUS = "status"
 TAKEN, LATE, REPEAT = "taken", "late", "repeat"
 
 
-class PerSymbolLateness(StatefulProcessor):
-    """Adds ``status`` to every arriving row; the rows of a batch are judged in order of date, copies in order of arrival."""
-
-    def __init__(self, lateness_days: int, idle_ms: int | None):
-        self.lateness, self.idle_ms = lateness_days, idle_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "day date")
-        self.seen = handle.getMapState("seen", "day date", "one boolean")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("date", kind="stable", ignore_index=True)
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        seen = {k[0] for k in self.seen.keys()} if self.seen.exists() else set()
-        known, status = set(seen), []
-        first = newest
-        for day in batch["date"]:
-            if first is not None and day <= first - dt.timedelta(days=self.lateness + 1):
-                status.append(LATE)
-            elif day in seen or first is not None and not known and day <= first:
-                # Without dates (after the timer) nothing up to the newest one can be told from a repeat.
-                status.append(REPEAT)
-            else:
-                status.append(TAKEN)
-                seen.add(day)
-                newest = day if newest is None or day > newest else newest
-        if newest is not None:
-            self.newest.update((newest,))
-            for day in seen:
-                recent = day > newest - dt.timedelta(days=self.lateness + 1)
-                if recent and day not in known:
-                    self.seen.updateValue((day,), (True,))
-                elif not recent and day in known:
-                    self.seen.removeKey((day,))
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        batch[STATUS] = status
-        yield batch
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.seen.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _processor(lateness_days: int, idle_ms: int | None) -> StatefulProcessor:
+    """The processor; its class is local, so that it travels to the workers by value."""
+
+    class PerSymbolLateness(StatefulProcessor):
+        """Adds ``status`` to every arriving row; the rows of a batch are judged in order of date, copies in order of arrival."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.newest = handle.getValueState("newest", "day date")
+            self.seen = handle.getMapState("seen", "day date", "one boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows), ignore_index=True).sort_values("date", kind="stable", ignore_index=True)
+            newest = self.newest.get()[0] if self.newest.exists() else None
+            seen = {k[0] for k in self.seen.keys()} if self.seen.exists() else set()
+            known, status = set(seen), []
+            first = newest
+            for day in batch["date"]:
+                if first is not None and day <= first - dt.timedelta(days=lateness_days + 1):
+                    status.append(LATE)
+                elif day in seen or first is not None and not known and day <= first:
+                    # Without dates (after the timer) nothing up to the newest one can be told from a repeat.
+                    status.append(REPEAT)
+                else:
+                    status.append(TAKEN)
+                    seen.add(day)
+                    newest = day if newest is None or day > newest else newest
+            if newest is not None:
+                self.newest.update((newest,))
+                for day in seen:
+                    recent = day > newest - dt.timedelta(days=lateness_days + 1)
+                    if recent and day not in known:
+                        self.seen.updateValue((day,), (True,))
+                    elif not recent and day in known:
+                        self.seen.removeKey((day,))
+            if idle_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+            batch[STATUS] = status
+            yield batch
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.seen.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return PerSymbolLateness()
 
 
 @contextmanager
@@ -95,7 +97,7 @@ def judged_arrivals(stream: DataFrame, lateness_days: int = 0, idle_ms: int | No
     schema = StructType([*stream.schema.fields, StructField(STATUS, StringType())])
     keyed = stream.where(F.col("symbol").isNotNull() & F.col("date").isNotNull())
     return keyed.groupBy("symbol").transformWithStateInPandas(
-        PerSymbolLateness(lateness_days, idle_ms), schema, "append", "none" if idle_ms is None else "processingTime")
+        _processor(lateness_days, idle_ms), schema, "append", "none" if idle_ms is None else "processingTime")
 
 
 def stream_judged(stream: DataFrame, taken: str, rejected: str, checkpoint: str, lateness_days: int = 0, idle_ms: int | None = None,
