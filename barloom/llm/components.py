@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.tokens import mix
 from barloom.shared import fresh_path
 
 
@@ -18,6 +21,50 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
 BITMAP_MOST = 1 << 26
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list:
+    """The wanted names, changed where the frame already has a column of that name in any case."""
+    taken = {n.lower() for n in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """The bits, ``BITMAP_MOST`` at most, that the 64-bit numbers of a column set; tasks combine them before the driver does."""
+    bits = 1 << 16
+    while bits < min(BITMAP_MOST, 16 * keys.count()):
+        bits *= 2
+
+    def run(batches):
+        own = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = _bit_of(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(own, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(own[used].view(np.int64))], names=["word", "mask"])
+
+    words = keys.select(key).mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _bit_of(values: np.ndarray, bits: int) -> np.ndarray:
+    if values.dtype == np.int64:
+        values = values.view(np.uint64)
+    return mix(values.astype(np.uint64)) & np.uint64(bits - 1)
+
+
+def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the numbers may be in the bitmap: all that are, and a few more."""
+    at = _bit_of(values, 64 * len(words))
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` is in ``keys``, and a few more: a filter that runs before a shuffle.
 

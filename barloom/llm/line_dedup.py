@@ -2,24 +2,26 @@
 
 A line is the set of its words (lower case). A line is a repeat when an earlier line of the
 corpus, by (doc_id, line number), has a Jaccard similarity of at least the threshold with it;
-every repeat is removed. Lines of fewer than ``LEAST_WORDS`` distinct words carry too little to
-be told apart and stay; so do blank lines.
+every repeat is removed, however short it is. Lines without words stay.
 
 1. Word counts over all texts give the order: rare words first. Words counted fewer than
    ``LOCAL`` times in a slice are all rare and ordered by hash. The order only decides how
    many candidates there are, never which lines match.
 2. Prefix filter: a line of n words can only match lines that share one of its first
    n - ceil(t n) + 1 words. An entry carries the line's place, size and a signature of
-   parities, 64 bits and for long lines 256.
+   parities: 64 bits, 128 from ``MIDDLE`` words and 256 from ``LONG``.
 3. Entries meet by word. Lines of equal sets (by size, signature and a check sum of the words)
    are repeats of the first of them at once, so a line repeated without end costs one row each.
    Of the others, length filter, positional filter and the signatures' bit counts bound the
    overlap from above; each line proposes its ``KEPT`` most similar earlier ones, or ``MANY``.
-4. Proposals are verified exactly, the most similar first. A line with more candidates than it
-   could propose, none of which held, is compared with all of them in blocks of such lines.
-
-Null texts have no lines. Rows that repeat a doc_id share their places and their fate. Other
-columns pass through ``without_repeats`` untouched.
+4. Proposals are verified exactly in rounds, the most similar first; a line that matched leaves.
+   A line with more candidates than it could propose, none of which held, is compared with all
+   of them: entries of the words that such lines hold meet once more, with the widest signatures.
+
+Null texts have no lines; an empty table has no repeats. Rows that repeat a doc_id share their places
+and their fate, rows of a null doc_id are left alone. Of earlier lines that match equally well the
+first one found is named; which lines are repeats does not depend on it. Other columns, whatever their names,
+pass through ``without_repeats`` untouched. A very long text is read in parts.
 """
 
 from __future__ import annotations
@@ -27,27 +29,29 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from barloom.llm.components import maybe_in, saved
+from barloom.llm.components import bitmap, fresh_names, in_bitmap, maybe_in, saved
 from barloom.llm.tokens import SLICE_BYTES, common, distinct, hash_words, mix, table, texts
 
 PERCENT = 80
-LEAST_WORDS = 5
 LOCAL = 8               # counts of a slice below this are not gathered
 FREQUENT_MOST = 65_536  # words with a rank, the most frequent
 BUCKET_ENTRIES = 300_000
 KEPT, MANY = 4, 64      # candidates that a line proposes in a word's group
+ROUNDS = (1, 4, 16)     # candidates verified by the end of each round; the last round takes the rest
 EQUAL = -1              # stands for the difference of lines with equal check sums and signatures
-LONG = 80               # distinct words from which the signature is wide
-BLOCK = 200_000         # lines compared with all their candidates in one run
+MIDDLE, LONG = 40, 80   # distinct words from which a signature has two columns of 64 bits, and four
 
 _NEWLINE = 10
 _RANKED = np.uint64(1) << np.uint64(40)
-_KINDS = {"h": np.uint32, "n": np.uint32, "at": np.uint32, "line": np.uint32, "doc": np.int64, "check": np.uint32, "bits": np.uint64}
-_PACKS = {"bucket": pa.int64()} | {k: pa.binary() for k in _KINDS} | {"wide": pa.binary()}
+_PLAIN = {"h": np.uint32, "doc": np.int64, "check": np.uint32, "bits": np.uint64}
+_SMALL = ("n", "at", "line")   # two bytes each where they fit, four elsewhere
+_PACKS = {"bucket": pa.int64()} | {k: pa.binary() for k in (*_PLAIN, *_SMALL)}
 _PACKS_SQL = "bucket long, " + ", ".join(f"`{k}` binary" for k in list(_PACKS)[1:])
 
 
@@ -99,8 +103,13 @@ def _line_keys(first, keys):
     return (both >> _KEY).astype(np.int64), both & _KEY_MASK
 
 
-def _entries(ranks, buckets, percent):
-    """Packed prefix entries per bucket of word hashes."""
+def _columns(n):
+    """How many columns the signatures of lines of ``n`` words have."""
+    return np.where(n >= LONG, 4, np.where(n >= MIDDLE, 2, 1))
+
+
+def _entries(ranks, buckets, percent, words_met=None):
+    """Packed prefix entries per bucket of word hashes; with ``words_met``, a bitmap, those of the words in it, with the widest signatures."""
 
     def run(batches):
         frequent, place = ranks.value
@@ -118,7 +127,7 @@ def _entries(ranks, buckets, percent):
                 starts = np.cumsum(n) - n
                 spread = mix(keys)
                 full = n > 0
-                check, bits, wide = np.zeros(len(n), np.uint32), np.zeros(len(n), np.uint64), np.zeros((len(n), 4), np.uint64)
+                check, wide = np.zeros(len(n), np.uint32), np.zeros((len(n), 4), np.uint64)
                 if not full.any():
                     continue
                 check[full] = np.add.reduceat(spread, starts[full]).astype(np.uint32)
@@ -126,48 +135,74 @@ def _entries(ranks, buckets, percent):
                 column = (spread >> np.uint64(56)) & np.uint64(3)
                 for c in range(4):
                     wide[full, c] = np.bitwise_xor.reduceat(np.where(column == c, flips, np.uint64(0)), starts[full])
-                bits[:] = np.bitwise_xor.reduce(wide, axis=1)
                 position = np.arange(len(line)) - starts[line]
                 prefix = n - -(-percent * n // 100) + 1
-                chosen = (position < prefix[line]) & (n[line] >= LEAST_WORDS)
+                chosen = position < prefix[line]
+                if words_met is not None:
+                    chosen &= in_bitmap(words_met.value, (spread >> np.uint64(32)).astype(np.uint32))
                 line, spread, position = line[chosen], spread[chosen], position[chosen]
                 held.append({"bucket": (spread % np.uint64(buckets)).astype(np.int64), "h": spread >> np.uint64(32), "n": n[line], "at": position,
-                             "line": number[line], "doc": docs[owner[line]], "check": check[line], "bits": bits[line], "wide": wide[line]})
+                             "line": number[line], "doc": docs[owner[line]], "check": check[line], "bits": wide[line]})
                 size += len(line)
                 if size > 300_000:
-                    yield _packed(held)
+                    yield _packed(held, words_met is not None)
                     held, size = [], 0
             if size:
-                yield _packed(held)
+                yield _packed(held, words_met is not None)
 
     return run
 
 
-def _packed(held):
+def _packed(held, widest):
     whole = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
     small = whole["bucket"].max() < 1 << 16
     order = np.argsort(whole["bucket"].astype(np.uint16) if small else whole["bucket"], kind="stable")
     whole = {k: v[order] for k, v in whole.items()}
-    bucket = whole["bucket"]
+    bucket, wide = whole["bucket"], whole.pop("bits")
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
     spans = list(zip(cut, [*cut[1:], len(bucket)]))
     out = {"bucket": bucket[cut]}
-    for k, kind in _KINDS.items():
-        values = whole[k].astype(kind)
+    for k in ("h", "doc", "check"):
+        values = whole[k].astype(_PLAIN[k])
         out[k] = [values[a:b].tobytes() for a, b in spans]
-    long = whole["n"] >= LONG
-    out["wide"] = [whole["wide"][a:b][long[a:b]].tobytes() for a, b in spans]
+    for k in _SMALL:
+        out[k] = [whole[k][a:b].astype(np.uint16 if whole[k][a:b].max() < 1 << 16 else np.uint32).tobytes() for a, b in spans]
+    width = np.full(len(wide), 4) if widest else _columns(whole["n"])
+    two, one = width == 2, width == 1
+    wide[two, :2] ^= wide[two, 2:]
+    wide[one, 0] = np.bitwise_xor.reduce(wide[one], axis=1)
+    used = np.arange(4) < width[:, None]
+    out["bits"] = [wide[a:b][used[a:b]].tobytes() for a, b in spans]
     return table(out, _PACKS)
 
 
 _PROPOSAL = "doc long, line long, to_doc long, to_line long, apart int, more boolean"
 
 
-def _unpacked(packs):
-    data = {k: np.concatenate([np.frombuffer(b, kind) for b in packs.column(k).to_pylist()]) for k, kind in _KINDS.items()}
-    wide = np.zeros((len(data["h"]), 4), np.uint64)
-    wide[data["n"] >= LONG] = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 4) for b in packs.column("wide").to_pylist()])
-    return data | {"wide": wide, "n": data["n"].astype(np.int64), "at": data["at"].astype(np.int64), "line": data["line"].astype(np.int64)}
+def _unpacked(packs, widest=False):
+    data = {k: np.concatenate([np.frombuffer(b, _PLAIN[k]) for b in packs.column(k).to_pylist()]) for k in ("h", "doc", "check")}
+    counts = [len(b) // 4 for b in packs.column("h").to_pylist()]
+    for k in _SMALL:
+        data[k] = np.concatenate([np.frombuffer(b, np.uint16 if len(b) == 2 * c else np.uint32).astype(np.int64)
+                                  for b, c in zip(packs.column(k).to_pylist(), counts)])
+    width = np.full(len(data["h"]), 4) if widest else _columns(data["n"])
+    wide = np.zeros((len(width), 4), np.uint64)
+    wide[np.arange(4) < width[:, None]] = np.concatenate([np.frombuffer(b, np.uint64) for b in packs.column("bits").to_pylist()])
+    return data | {"bits": wide, "width": width}
+
+
+def _apart(data, i, j):
+    """The difference of signatures at the width of the narrower one; folding by xor keeps parities."""
+    width = np.minimum(data["width"][i], data["width"][j])
+    out = np.empty(len(i), np.int64)
+    for columns in (1, 2, 4):
+        rows = np.flatnonzero(width == columns)
+        if len(rows):
+            differ = data["bits"][i[rows]] ^ data["bits"][j[rows]]   # a narrower one has its fold in front and zeros behind
+            if columns < 4:
+                differ = np.bitwise_xor.reduce(differ.reshape(len(rows), 4 // columns, columns), axis=1)
+            out[rows] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _taken(data, rows):
@@ -191,11 +226,11 @@ def _pairs(data, percent, wanted=None):
         i, j = i[near], j[near]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         room = np.minimum(data["at"][i], data["at"][j]) + np.minimum(n[i] - data["at"][i], n[j] - data["at"][j])
-        apart = np.bitwise_count(data["bits"][i] ^ data["bits"][j]).astype(np.int64)
-        both = (n[i] >= LONG) & (n[j] >= LONG)
-        apart[both] = np.bitwise_count(data["wide"][i[both]] ^ data["wide"][j[both]]).sum(axis=1, dtype=np.int64)
-        ok = (room >= need) & ((n[i] + n[j] - apart) // 2 >= need)
-        a, b, apart = i[ok], j[ok], apart[ok]
+        fits = room >= need
+        i_, j_, need = i[fits], j[fits], need[fits]
+        apart = _apart(data, i_, j_)
+        ok = (n[i_] + n[j_] - apart) // 2 >= need
+        a, b, apart = i_[ok], j_[ok], apart[ok]
         swap = rank[a] < rank[b]
         later, earlier = np.where(swap, b, a), np.where(swap, a, b)
         keep = (data["doc"][a] != data["doc"][b]) | (data["line"][a] != data["line"][b])
@@ -214,7 +249,8 @@ def _equal_classes(data):
     rank = np.empty(len(data["h"]), np.int64)
     rank[np.lexsort((data["line"], data["doc"]))] = np.arange(len(rank))
     sizes = (data["h"].astype(np.uint64) << np.uint64(32)) | data["n"].astype(np.uint64)
-    name = mix(data["bits"] + (data["check"].astype(np.uint64) << np.uint64(20)) + data["at"].astype(np.uint64))
+    fold = np.bitwise_xor.reduce(data["bits"], axis=1)
+    name = mix(fold + (data["check"].astype(np.uint64) << np.uint64(20)) + data["at"].astype(np.uint64))
     order = np.lexsort((rank, name, sizes))
     sizes, name = sizes[order], name[order]
     same = np.zeros(len(order), bool)
@@ -267,12 +303,12 @@ def _proposals(percent):
 
 
 def _all_candidates(percent, wanted):
-    """All earlier candidates of the wanted lines, of equal lines the first."""
+    """All earlier candidates of the lines in the bitmap ``wanted``, of equal lines the first."""
 
     def run(packs):
-        data, same = _equal_classes(_unpacked(packs))
+        data, same = _equal_classes(_unpacked(packs, widest=True))
         heads = _taken(data, np.flatnonzero(~same))
-        marked = np.isin(_place(heads["doc"], heads["line"]), wanted.value)
+        marked = in_bitmap(wanted.value, _place(heads["doc"], heads["line"]))
         empty = np.zeros(0, np.int64)
         out = [_proposed(heads, a, b, c, np.zeros(len(a), bool)) for a, b, c in _pairs(heads, percent, marked) if len(a)]
         return pa.concat_tables(out or [_proposed(heads, empty, empty, empty, np.zeros(0, bool))])
@@ -284,12 +320,39 @@ def _place(doc, line):
     return mix(mix(np.asarray(doc).astype(np.int64).view(np.uint64)) + np.asarray(line).astype(np.uint64))
 
 
+def _placed(batches):
+    for batch in batches:
+        places = _place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield table({"place": places.view(np.int64)}, {"place": pa.int64()})
+
+
+def _prefix_words(ranks, percent):
+    """The spread hashes, 32 bits, of the prefix words of given lines, from their sorted word sets."""
+
+    def run(batches):
+        frequent, place = ranks.value
+        for batch in batches:
+            found = []
+            for own in batch.column(0).to_pylist():
+                words = np.frombuffer(own, np.uint64)
+                keys = mix(words) >> np.uint64(24)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+                    known = frequent[at] == words
+                    keys[known] = _RANKED | place[at[known]]
+                keys = distinct(keys & _KEY_MASK)
+                found.append(mix(keys[:len(keys) - -(-percent * len(keys) // 100) + 1]) >> np.uint64(32))
+            yield table({"h": np.unique(np.concatenate(found)).astype(np.int64) if found else []}, {"h": pa.int64()})
+
+    return run
+
+
 def _word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``doc, line, s1, words`` of the given places: a hash of the set and its sorted 64-bit members."""
+    """``doc, line, words`` of the given places: the sorted 64-bit members of the line's set."""
     wanted = places.distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
     wanted = saved(wanted, "line-places")
     candidates = maybe_in(docs.select(F.col("doc_id").alias("doc"), "text"), wanted.select("doc"), "doc")
-    schema = {"doc": pa.int64(), "line": pa.int64(), "s1": pa.int64(), "words": pa.binary()}
+    schema = {"doc": pa.int64(), "line": pa.int64(), "words": pa.binary()}
 
     def run(batches):
         for batch in batches:
@@ -301,22 +364,17 @@ def _word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
                 chosen = np.flatnonzero(np.isin((owner + row << 32) | number, asked))
                 sets = [distinct(words[first[i]:first[i + 1]]) for i in chosen]
                 if sets:
-                    marks = [int(np.add.reduce(mix(own)).view(np.int64)) if len(own) else 0 for own in sets]
-                    yield table({"doc": batch.column(0).take(pa.array(owner[chosen] + row)), "line": number[chosen], "s1": marks,
+                    yield table({"doc": batch.column(0).take(pa.array(owner[chosen] + row)), "line": number[chosen],
                                  "words": [own.tobytes() for own in sets]}, schema)
 
     met = candidates.join(wanted, "doc").select("doc", "text", "lines")
-    return saved(met.mapInArrow(run, "doc long, line long, s1 long, words binary"), "line-words")
+    return saved(met.mapInArrow(run, "doc long, line long, words binary"), "line-words")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose exact Jaccard reaches ``percent``, with it."""
     names = ["doc", "line", "to_doc", "to_line"]
-    marks = sets.select("doc", "line", "s1")
-    marked = pairs.select(names).join(marks, ["doc", "line"]).join(
-        marks.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("s1").alias("to_s1")), ["to_doc", "to_line"])
-    equal = marked.where("s1 = to_s1").select(*names, F.lit(1.0).alias("jaccard"))
-    rest = marked.where("s1 != to_s1").select(names).distinct().join(sets.select("doc", "line", "words"), ["doc", "line"]).join(
+    met = pairs.select(names).join(sets.select("doc", "line", "words"), ["doc", "line"]).join(
         sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_doc", "to_line"])
     schema = {n: pa.int64() for n in names} | {"jaccard": pa.float64()}
 
@@ -331,7 +389,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = np.flatnonzero(value >= 0)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in range(4)] + [pa.array(value[keep])], names=list(schema))
 
-    return equal.union(rest.select(*names, "words", "to_words").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", jaccard double"))
+    return met.select(*names, "words", "to_words").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", jaccard double")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -354,21 +412,27 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     places = ["doc", "line", "to_doc", "to_line"]
     equal = found.where(f"apart = {EQUAL}").select(*places, F.lit(1.0).alias("jaccard"))
     near = found.where(f"apart != {EQUAL}").join(equal.select("doc", "line"), ["doc", "line"], "left_anti")
-    near = saved(near.groupBy(places).agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
+    nth = F.row_number().over(Window.partitionBy("doc", "line").orderBy("apart", "to_doc", "to_line"))
+    near = near.groupBy(places).agg(F.min("apart").alias("apart"), F.max("more").alias("more")).withColumn("nth", nth)
+    near = saved(near, "line-candidates")
     sets = _word_sets(docs, near.select("doc", "line").union(near.select("to_doc", "to_line")))
-    nearest = near.groupBy("doc", "line").agg(F.min(F.struct("apart", "to_doc", "to_line")).alias("m")).select(
-        "doc", "line", "m.to_doc", "m.to_line")
-    held = saved(_verified(nearest, sets, percent), "line-repeats")
-    left = near.join(held.select("doc", "line"), ["doc", "line"], "left_anti").join(nearest, places, "left_anti")
-    held = held.union(saved(_verified(left, sets, percent), "line-repeats"))
+    held = None
+    for above, most in zip((0, *ROUNDS), (*ROUNDS, None)):
+        asked = near.where(f"nth > {above}" + (f" and nth <= {most}" if most else ""))
+        if held is not None:
+            asked = asked.join(held.select("doc", "line"), ["doc", "line"], "left_anti")
+        found = saved(_verified(asked, sets, percent), "line-repeats")
+        held = found if held is None else held.union(found)
 
     open_ = saved(near.where("more").select("doc", "line").distinct().join(held.select("doc", "line"), ["doc", "line"], "left_anti"), "open-lines")
-    blocks = math.ceil(open_.count() / BLOCK)
-    for block in range(blocks):
-        asked = open_.where(F.pmod(F.xxhash64("doc", "line"), F.lit(blocks)) == block).toPandas()
-        wanted = spark.sparkContext.broadcast(np.sort(_place(asked["doc"].to_numpy(), asked["line"].to_numpy())))
-        every = saved(packs.groupBy("bucket").applyInArrow(_all_candidates(percent, wanted), _PROPOSAL).select(
-            "doc", "line", "to_doc", "to_line").distinct(), "line-candidates")
+    if open_.take(1):
+        prefixes = open_.join(sets, ["doc", "line"]).select("words").mapInArrow(_prefix_words(ranks, percent), "h long")
+        words_met = spark.sparkContext.broadcast(bitmap(prefixes, "h"))
+        marks = open_.select("doc", "line").mapInArrow(_placed, "place long")
+        wanted = spark.sparkContext.broadcast(bitmap(marks, "place"))
+        packs = docs.mapInArrow(_entries(ranks, buckets, percent, words_met), _PACKS_SQL)
+        every = packs.groupBy("bucket").applyInArrow(_all_candidates(percent, wanted), _PROPOSAL).select(*places).distinct()
+        every = saved(every.join(near.select(places), places, "left_anti"), "line-candidates")
         own = _word_sets(docs, every.select("doc", "line").union(every.select("to_doc", "to_line")))
         held = held.union(saved(_verified(every, own, percent), "line-repeats"))
     held = held.union(equal)
@@ -381,11 +445,27 @@ def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without their repeated lines. A document that loses lines and has no word left goes;
     ``n_chars``, where there is one, counts the code points that are left."""
     names = docs.columns
-    gone = repeats(docs, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    joined = joined.where("_gone is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    gone_name, = fresh_names(docs, "gone")
+    gone = repeats(docs, percent).groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("line_no").alias(gone_name))
+    joined = docs.join(gone, docs["doc_id"] == gone["key"], "left")
+    changed = F.col(gone_name).isNotNull()
+    kept = _without(F.when(changed, docs["text"].cast("string")), F.col(gone_name))
+    out = joined.select(*[docs[f"`{n}`"] for n in names if n != "text"], F.when(changed, kept).otherwise(docs["text"]).alias("text"), F.col(gone_name))
+    out = out.where(F.col(gone_name).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return joined.select(names)
+        out = out.withColumn("n_chars", F.when(F.col(gone_name).isNull(), F.col("n_chars")).otherwise(
+            F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select(*[f"`{n}`" for n in names])
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """The text without the lines of the given numbers."""
+    out = []
+    for t, lines in zip(text, gone):
+        if t is None or lines is None:
+            out.append(t)
+            continue
+        lines = set(lines)
+        out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in lines))
+    return pd.Series(out, dtype=object)
