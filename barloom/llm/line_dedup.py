@@ -122,6 +122,12 @@ def _entries(ranks, buckets, percent, words_met=None):
                     at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
                     known = frequent[at] == words
                     keys[known] = _RANKED | place[at[known]]
+                if words_met is not None:   # lines without such a word have no entry
+                    hit = np.append(0, np.cumsum(in_bitmap(words_met.value, (mix(keys) >> np.uint64(32)).astype(np.uint32))))
+                    some = hit[first[1:]] > hit[first[:-1]]
+                    of_some = np.repeat(some, np.diff(first))
+                    first = np.append(0, np.cumsum(np.diff(first)[some]))
+                    keys, owner, number = keys[of_some], owner[some], number[some]
                 line, keys = _line_keys(first, keys)
                 n = np.bincount(line, minlength=len(number))
                 starts = np.cumsum(n) - n
@@ -188,7 +194,7 @@ def _unpacked(packs, widest=False):
     width = np.full(len(data["h"]), 4) if widest else _columns(data["n"])
     wide = np.zeros((len(width), 4), np.uint64)
     wide[np.arange(4) < width[:, None]] = np.concatenate([np.frombuffer(b, np.uint64) for b in packs.column("bits").to_pylist()])
-    return data | {"bits": wide, "width": width}
+    return data | {"bits": wide, "width": width, "fold": np.bitwise_xor.reduce(wide, axis=1)}
 
 
 def _apart(data, i, j):
@@ -226,7 +232,8 @@ def _pairs(data, percent, wanted=None):
         i, j = i[near], j[near]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         room = np.minimum(data["at"][i], data["at"][j]) + np.minimum(n[i] - data["at"][i], n[j] - data["at"][j])
-        fits = room >= need
+        # The fold of a signature costs least and leaves few pairs for the columns.
+        fits = (room >= need) & ((n[i] + n[j] - np.bitwise_count(data["fold"][i] ^ data["fold"][j])) // 2 >= need)
         i_, j_, need = i[fits], j[fits], need[fits]
         apart = _apart(data, i_, j_)
         ok = (n[i_] + n[j_] - apart) // 2 >= need
@@ -249,8 +256,7 @@ def _equal_classes(data):
     rank = np.empty(len(data["h"]), np.int64)
     rank[np.lexsort((data["line"], data["doc"]))] = np.arange(len(rank))
     sizes = (data["h"].astype(np.uint64) << np.uint64(32)) | data["n"].astype(np.uint64)
-    fold = np.bitwise_xor.reduce(data["bits"], axis=1)
-    name = mix(fold + (data["check"].astype(np.uint64) << np.uint64(20)) + data["at"].astype(np.uint64))
+    name = mix(data["fold"] + (data["check"].astype(np.uint64) << np.uint64(20)) + data["at"].astype(np.uint64))
     order = np.lexsort((rank, name, sizes))
     sizes, name = sizes[order], name[order]
     same = np.zeros(len(order), bool)
