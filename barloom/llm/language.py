@@ -221,8 +221,8 @@ def _groups(texts, letters=400_000):
         yield group
 
 
-def languages(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` with ``found``: a struct of the language and its score."""
+def languages(docs: DataFrame, model: dict, name: str = "found") -> DataFrame:
+    """All columns of ``docs`` with a struct of the language and its score as column ``name``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -243,7 +243,7 @@ def languages(docs: DataFrame, model: dict) -> DataFrame:
                     out.append((names[best], float(weight[best] / weight.sum())))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("found", found(F.col("text").cast("string")))
+    return docs.withColumn(name, found(F.col("text").cast("string")))
 
 
 def language_of_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

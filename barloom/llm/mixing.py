@@ -11,7 +11,10 @@ in the order of most * size / weight, so one running sum over the sources finds
 A source's repetition rate is its target by its size. Each of its documents is emitted
 floor(rate) times, and once more if a hash of the doc_id, as a number in [0, 1), is below the
 fraction of the rate. The draw depends on the doc_id and the seed alone: reruns agree, and
-rows that repeat a doc_id are drawn alike. A source without words has the target 0.
+rows that repeat a doc_id are drawn alike. A source without words has the target 0; an empty table
+gives no rows. Equal ratios of sources fill up in the order of their names. The words that a source takes differ from its target by the
+spread of the draws: with the fraction f of the rate, a variance of f (1 - f) times the sum of the squared sizes of
+its documents. Other columns, whatever their names, pass through ``mixed`` untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.components import saved
+from barloom.llm.components import fresh_names, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -74,13 +77,14 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix: every row as often as it is taken, its columns as they were."""
     names = docs.columns
+    source, rate, copy = fresh_names(docs, "source_of_rate", "rate", "copy")
     rates = targets(docs.select(F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")))
-    rates = rates.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(
-        F.lit(0.0)).alias("_rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_source")))
-    copies = F.floor("_rate") + (draw(docs["doc_id"]) < F.col("_rate") - F.floor("_rate")).cast("long")
-    taken = joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    return taken.select(*[docs[c] for c in names])
+    rates = rates.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(
+        F.lit(0.0)).alias(rate))
+    joined = docs.join(rates, docs["source"].eqNullSafe(F.col(source)))
+    copies = F.floor(rate) + (draw(docs["doc_id"]) < F.col(rate) - F.floor(rate)).cast("long")
+    taken = joined.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return taken.select(*[f"`{c}`" for c in names])
 
 
 #: The same by DuckDB, with the level searched over all sources instead of a running sum.

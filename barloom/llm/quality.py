@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from barloom.llm.components import fresh_names
 from barloom.llm.splits import labelled_texts, logistic, remainder
 
 DIM = 48
@@ -195,8 +196,8 @@ def _probabilities(net, prior, x):
     return logistic((hidden @ w[2] + w[3]) / net["temperature"])
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score`` (probability of label 1) of the whole text."""
+def score(docs: DataFrame, model: dict, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` with the probability of label 1 of the whole text, as column ``name``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -207,7 +208,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             x = np.stack([vectors.pooled(t) for t in texts]) if len(texts) else np.zeros((0, 2 * DIM + 4))
             yield pd.Series(_probabilities(m["net"], m["prior"], x.astype(np.float64)))
 
-    return docs.withColumn("quality_score", quality_score(F.col("text").cast("string")))
+    return docs.withColumn(name, quality_score(F.col("text").cast("string")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,5 +219,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier predicts to be good."""
-    return score(docs, fit(docs, labels)).where("quality_score >= 0.5").select(docs.columns)
+    """The rows that the classifier predicts to be good, with the columns that they have, whatever their names."""
+    name, = fresh_names(docs, "quality_score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).select(*[f"`{c}`" for c in docs.columns])

@@ -199,8 +199,8 @@ def _calibration(got) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` with ``toxicity`` (probability of label 1) of the whole text."""
+def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with the probability of label 1 of the whole text as column ``name``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             x = np.array([features(t, lexicon) for t in texts]).reshape(-1, 3)
             yield pd.Series(logistic(np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), np.log1p(x[:, 1]), x[:, 2]]) @ w))
 
-    return docs.withColumn("toxicity", toxicity(F.col("text").cast("string")))
+    return docs.withColumn(name, toxicity(F.col("text").cast("string")))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
