@@ -94,6 +94,31 @@ def _counts(batches):
 
 _KEY = np.uint64(41)   # bits of a word's place in the order; a slice has fewer than 2 ** 23 lines
 _KEY_MASK = (np.uint64(1) << _KEY) - np.uint64(1)
+_SLOT = np.uint64(44)  # the leading bits of a word are its slot
+
+
+class _Ranks:
+    """Keys of words in the order of lines: rare words by hash, 40 bits; the frequent ones above them by rank."""
+
+    def __init__(self, frequent, place):
+        self.frequent, self.place = frequent, place
+        slot = frequent >> _SLOT
+        self.slots = np.zeros(1 << 20, np.uint32)   # of words in one slot the most frequent
+        by_rank = np.argsort(place)
+        self.slots[slot[by_rank]] = by_rank
+        self.crowded = np.bincount(slot.astype(np.int64), minlength=1 << 20) > 1
+
+    def keys(self, words):
+        keys = mix(words) >> np.uint64(24)
+        if len(self.frequent):
+            slot = words >> _SLOT
+            at = self.slots[slot]
+            known = self.frequent[at] == words
+            left = np.flatnonzero(~known & self.crowded[slot])
+            at[left] = np.minimum(np.searchsorted(self.frequent, words[left]), len(self.frequent) - 1)
+            known[left] = self.frequent[at[left]] == words[left]
+            keys[known] = _RANKED | self.place[at[known]]
+        return keys
 
 
 def _line_keys(first, keys):
@@ -112,16 +137,12 @@ def _entries(ranks, buckets, percent, words_met=None):
     """Packed prefix entries per bucket of word hashes; with ``words_met``, a bitmap, those of the words in it, with the widest signatures."""
 
     def run(batches):
-        frequent, place = ranks.value
+        order = _Ranks(*ranks.value)
         for batch in batches:
             held, size = [], 0
             for row, words, first, owner, number in _lines(batch.column(1)):
                 docs = batch.column(0).slice(row, int(owner[-1]) + 1).to_numpy(zero_copy_only=False)
-                keys = mix(words) >> np.uint64(24)   # rare words: 40 bits; the others above them by rank
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-                    known = frequent[at] == words
-                    keys[known] = _RANKED | place[at[known]]
+                keys = order.keys(words)
                 if words_met is not None:   # lines without such a word have no entry
                     hit = np.append(0, np.cumsum(in_bitmap(words_met.value, (mix(keys) >> np.uint64(32)).astype(np.uint32))))
                     some = hit[first[1:]] > hit[first[:-1]]
@@ -336,17 +357,12 @@ def _prefix_words(ranks, percent):
     """The spread hashes, 32 bits, of the prefix words of given lines, from their sorted word sets."""
 
     def run(batches):
-        frequent, place = ranks.value
+        order = _Ranks(*ranks.value)
         for batch in batches:
             found = []
             for own in batch.column(0).to_pylist():
                 words = np.frombuffer(own, np.uint64)
-                keys = mix(words) >> np.uint64(24)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-                    known = frequent[at] == words
-                    keys[known] = _RANKED | place[at[known]]
-                keys = distinct(keys & _KEY_MASK)
+                keys = distinct(order.keys(words) & _KEY_MASK)
                 found.append(mix(keys[:len(keys) - -(-percent * len(keys) // 100) + 1]) >> np.uint64(32))
             yield table({"h": np.unique(np.concatenate(found)).astype(np.int64) if found else []}, {"h": pa.int64()})
 
@@ -410,7 +426,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = np.arange(len(frequent), 0, -1).astype(np.uint64)
     order = np.argsort(frequent)
     ranks = spark.sparkContext.broadcast((frequent[order], place[order]))
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / 6 * (100 - percent) / 100 / BUCKET_ENTRIES))
 
     packs = docs.mapInArrow(_entries(ranks, buckets, percent), _PACKS_SQL)
