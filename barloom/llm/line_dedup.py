@@ -42,6 +42,8 @@ PERCENT = 80
 LOCAL = 8               # counts of a slice below this are not gathered
 FREQUENT_MOST = 65_536  # words with a rank, the most frequent
 BUCKET_ENTRIES = 300_000
+HELD_ENTRIES = 200_000  # entries that are packed together
+HELD_PAIRS = 500_000    # pairs between two selections of the nearest
 KEPT, MANY = 4, 64      # candidates that a line proposes in a word's group
 ROUNDS = (1, 4, 16)     # candidates verified by the end of each round; the last round takes the rest
 EQUAL = -1              # stands for the difference of lines with equal check sums and signatures
@@ -171,7 +173,7 @@ def _entries(ranks, buckets, percent, words_met=None):
                 held.append({"bucket": (spread % np.uint64(buckets)).astype(np.int64), "h": spread >> np.uint64(32), "n": n[line], "at": position,
                              "line": number[line], "doc": docs[owner[line]], "check": check[line], "bits": wide[line]})
                 size += len(line)
-                if size > 300_000:
+                if size > HELD_ENTRIES:
                     yield _packed(held, words_met is not None)
                     held, size = [], 0
             if size:
@@ -181,25 +183,31 @@ def _entries(ranks, buckets, percent, words_met=None):
 
 
 def _packed(held, widest):
-    whole = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
-    small = whole["bucket"].max() < 1 << 16
-    order = np.argsort(whole["bucket"].astype(np.uint16) if small else whole["bucket"], kind="stable")
-    whole = {k: v[order] for k, v in whole.items()}
-    bucket, wide = whole["bucket"], whole.pop("bits")
+    """Entries by bucket, packed; ``held`` is used up column by column, so no two whole copies are kept."""
+    bucket = np.concatenate([x.pop("bucket") for x in held])
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
     spans = list(zip(cut, [*cut[1:], len(bucket)]))
     out = {"bucket": bucket[cut]}
-    for k in ("h", "doc", "check"):
-        values = whole[k].astype(_PLAIN[k])
-        out[k] = [values[a:b].tobytes() for a, b in spans]
-    for k in _SMALL:
-        out[k] = [whole[k][a:b].astype(np.uint16 if whole[k][a:b].max() < 1 << 16 else np.uint32).tobytes() for a, b in spans]
-    width = np.full(len(wide), 4) if widest else _columns(whole["n"])
+    whole = np.concatenate([x["n"] for x in held])[order]
+    width = np.full(len(whole), 4) if widest else _columns(whole)
+    for k in ("h", "doc", "check", *_SMALL):
+        whole = np.concatenate([x.pop(k) for x in held])[order]
+        if k in _PLAIN:
+            whole = whole.astype(_PLAIN[k])
+            values = [whole[a:b].tobytes() for a, b in spans]
+        else:
+            values = [whole[a:b].astype(np.uint16 if whole[a:b].max() < 1 << 16 else np.uint32).tobytes() for a, b in spans]
+        out[k] = pa.array(values, _PACKS[k])
+    del whole, values
+    wide = np.concatenate([x.pop("bits") for x in held])[order]
     two, one = width == 2, width == 1
     wide[two, :2] ^= wide[two, 2:]
     wide[one, 0] = np.bitwise_xor.reduce(wide[one], axis=1)
     used = np.arange(4) < width[:, None]
-    out["bits"] = [wide[a:b][used[a:b]].tobytes() for a, b in spans]
+    out["bits"] = pa.array([wide[a:b][used[a:b]].tobytes() for a, b in spans], _PACKS["bits"])
+    del wide
     return table(out, _PACKS)
 
 
@@ -307,7 +315,8 @@ def _proposals(percent):
         heads = _taken(data, first)
         # Below half of the difference that a match may have, the signatures leave little doubt; they say little of very long lines.
         sure = np.where(heads["n"] < 4 * LONG, (100 - percent) * heads["n"] // (100 + percent), -1)
-        held, size, over = [], 0, np.zeros(len(first), bool)
+        del data
+        held, size, most, over = [], 0, HELD_PAIRS, np.zeros(len(first), bool)
 
         def compact():
             *pairs, more = _nearest(*(np.concatenate(x) for x in zip(*held)), sure)
@@ -318,9 +327,10 @@ def _proposals(percent):
             if len(pairs[0]):
                 held.append(pairs)
                 size += len(pairs[0])
-            if size > 2_000_000:
+            if size > most:
                 held = compact()
                 size = len(held[0][0])
+                most = 2 * size + HELD_PAIRS
         if held:
             later, earlier, apart = compact()[0]
             out.append(_proposed(heads, later, earlier, apart, over[later]))
