@@ -11,7 +11,9 @@ every repeat is removed, however short it is. Lines without words stay.
    n - ceil(t n) + 1 words. An entry carries the line's place, size and a signature of
    parities: 64 bits, 128 from ``MIDDLE`` words and 256 from ``LONG``.
 3. Entries meet by word. Lines of equal sets (by size, signature and a check sum of the words)
-   are repeats of the first of them at once, so a line repeated without end costs one row each.
+   are repeats of the first of them at once. Those that equal an earlier line of the same slice of
+   texts leave before the entries meet: they travel in spread groups with the line they repeat, so
+   a word's group holds one entry per slice of a line that is repeated without end.
    Of the others, length filter, positional filter and the signatures' bit counts bound the
    overlap from above; each line proposes its ``KEPT`` most similar earlier ones, or ``MANY``.
 4. Proposals are verified exactly in rounds, the most similar first; a line that matched leaves.
@@ -141,7 +143,7 @@ def _entries(ranks, buckets, percent, words_met=None):
     def run(batches):
         order = _Ranks(*ranks.value)
         for batch in batches:
-            held, size = [], 0
+            held, copies, size = [], [], 0
             for row, words, first, owner, number in _lines(batch.column(1)):
                 docs = batch.column(0).slice(row, int(owner[-1]) + 1).to_numpy(zero_copy_only=False)
                 keys = order.keys(words)
@@ -164,24 +166,68 @@ def _entries(ranks, buckets, percent, words_met=None):
                 column = (spread >> np.uint64(56)) & np.uint64(3)
                 for c in range(4):
                     wide[full, c] = np.bitwise_xor.reduceat(np.where(column == c, flips, np.uint64(0)), starts[full])
+                doc = docs[owner]
                 position = np.arange(len(line)) - starts[line]
                 prefix = n - -(-percent * n // 100) + 1
                 chosen = position < prefix[line]
                 if words_met is not None:
                     chosen &= in_bitmap(words_met.value, (spread >> np.uint64(32)).astype(np.uint32))
+                else:
+                    again, leader = _copies(n, check, wide, doc, number)
+                    repeated = np.zeros(len(n), bool)
+                    repeated[again] = True
+                    chosen &= ~repeated[line]
+                    apart = (doc[again] != doc[leader]) | (number[again] != number[leader])
+                    again, leader = again[apart], leader[apart]
+                    if len(again):
+                        copies.append({"doc": doc[again], "line": number[again], "bits": doc[leader], "at": number[leader]})
+                        size += len(again)
                 line, spread, position = line[chosen], spread[chosen], position[chosen]
-                held.append({"bucket": (spread % np.uint64(buckets)).astype(np.int64), "h": spread >> np.uint64(32), "n": n[line], "at": position,
-                             "line": number[line], "doc": docs[owner[line]], "check": check[line], "bits": wide[line]})
-                size += len(line)
+                if len(line):
+                    held.append({"bucket": (spread % np.uint64(buckets)).astype(np.int64), "h": spread >> np.uint64(32), "n": n[line], "at": position,
+                                 "line": number[line], "doc": doc[line], "check": check[line], "bits": wide[line]})
+                    size += len(line)
                 if size > HELD_ENTRIES:
-                    yield _packed(held, words_met is not None)
-                    held, size = [], 0
-            if size:
-                yield _packed(held, words_met is not None)
+                    yield from _flushed(held, copies, buckets, words_met is not None)
+                    held, copies, size = [], [], 0
+            yield from _flushed(held, copies, buckets, words_met is not None)
 
     return run
 
 
+def _copies(n, check, wide, doc, number):
+    """Lines of a slice whose set equals that of one before it by (doc, number), and the first such one."""
+    rows = np.flatnonzero(n)
+    name = mix(n[rows].astype(np.uint64) + (check[rows].astype(np.uint64) << np.uint64(20)))
+    for c in range(4):
+        name = mix(name + wide[rows, c])
+    order = np.lexsort((number[rows], doc[rows], name))
+    rows, name = rows[order], name[order]
+    same = np.zeros(len(rows), bool)
+    same[1:] = name[1:] == name[:-1]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
+    return rows[same], rows[first[same]]
+
+
+def _flushed(held, copies, buckets, widest):
+    if held:
+        yield _packed(held, widest)
+    if copies:
+        yield _packed_copies(copies, buckets)
+
+
+def _packed_copies(copies, buckets):
+    """Copies with their first ones, in a group below zero: these are spread, whatever line they repeat."""
+    whole = {k: np.concatenate([x[k] for x in copies]).astype(np.int64) for k in copies[0]}
+    salt = int(mix(whole["doc"][:1].view(np.uint64))[0] % np.uint64(buckets))
+    return table({"bucket": [-1 - salt]} | {k: [whole[k].tobytes() if k in whole else b""] for k in list(_PACKS)[1:]}, _PACKS)
+
+
+def _copies_proposed(packs):
+    doc, line, to_doc, to_line = (np.concatenate([np.frombuffer(b, np.int64) for b in packs.column(k).to_pylist()]) for k in ("doc", "line", "bits", "at"))
+    return pa.table({"doc": doc, "line": line, "to_doc": to_doc, "to_line": to_line, "apart": np.full(len(doc), EQUAL, np.int32), "more": np.zeros(len(doc), bool)})
+
+
 def _packed(held, widest):
     """Entries by bucket, packed; ``held`` is used up column by column, so no two whole copies are kept."""
     bucket = np.concatenate([x.pop("bucket") for x in held])
@@ -307,6 +353,8 @@ def _nearest(later, earlier, apart, sure):
 
 def _proposals(percent):
     def run(packs):
+        if packs.column("bucket")[0].as_py() < 0:
+            return _copies_proposed(packs)
         data, same = _equal_classes(_unpacked(packs))
         first = np.flatnonzero(~same)
         leader = first[np.cumsum(~same) - 1]
