@@ -30,6 +30,12 @@ def test_a_bundle_shuffles_once_and_sorts_twice_at_most(spark, stored, bundle):
     assert "Python" not in p and "Join" not in p
 
 
+@pytest.mark.parametrize("bundle", ["features_basic", "features_forecast", "features_full", "features_universal"])
+def test_a_bundle_with_averages_sorts_the_bare_bars_only(spark, stored, bundle):
+    p = plan(getattr(bundles, bundle)(store.read_bars(spark, stored)))
+    assert len(re.findall(r"- Sort ", p)) == 1
+
+
 def test_the_screen_limits_before_its_shuffle(spark, stored):
     import datetime as dt
 
