@@ -6,6 +6,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import learning as ml
 from barloom.schema import BARS
@@ -136,3 +137,15 @@ def test_interactions_have_no_powers(spark):
     crossed = ml.interaction_columns(ml.POLYNOMIAL_INPUTS, 3)
     assert len(crossed) + len(ml.POLYNOMIAL_INPUTS) == 231
     assert all(len(set(name.split("_x_"))) == len(name.split("_x_")) for name in crossed)
+
+
+def test_the_polynomial_stores_its_inputs_and_not_their_products(spark, monkeypatch):
+    names = [f"x{i}" for i in range(4)]
+    rows = spark.range(200).select(*[F.sin(F.col("id") * (i + 1)).alias(n) for i, n in enumerate(names)])
+    rows = rows.withColumn("target", 2 + F.col("x0") * F.col("x1") * 3)
+    stored = []
+    kept = ml.materialised
+    monkeypatch.setattr(ml, "materialised", lambda df, *a: stored.append(df.columns) or kept(df, *a))
+    model, metrics = ml.fit_polynomial(rows, rows, inputs=names, alpha=1e-6)
+    assert stored == [["label", *names]]
+    assert model.numFeatures == 4 + 6 + 4 and metrics.first()["mse"] < 1e-9
