@@ -11,6 +11,9 @@ Three kinds of data files:
 * ``delta``: corrections; the newest version of a key goes before older ones and before the base;
 * ``gone``: symbols whose older rows no longer count.
 
+A commit of more than ``FILES`` files of the asked size takes larger ones, up to ``ROWS_PER_FILE``: the range
+bounds, the file list and its paths pass through the driver, which small files would make as large as the bars.
+
 A read keeps the files whose bounds can hold what is asked for. Without corrections it is a plain
 scan; with them the base is anti-joined with the corrected keys, which the optimizer broadcasts while
 they are few. ``compact`` rewrites only base files that hold a corrected symbol, and small files.
@@ -33,6 +36,7 @@ from barloom.operators.upkeep import retain
 
 VERSION = "__version"
 ROWS_PER_FILE = 2_000_000
+FILES = 256
 FEW = 1000
 
 
@@ -81,6 +85,8 @@ class VersionedBars:
             return None
         order = [c for c in self.keys if c in rows.columns]
         parts = -(-count // self.rows_per_file)
+        if parts > FILES:
+            parts = min(parts, max(FILES, -(-count // ROWS_PER_FILE)))
         rows.withColumn(VERSION, F.lit(version)).repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(folder)
         return self._described(folder, kind, version)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.schema import BARS
+from barloom.sources import versions
 from barloom.sources.versions import VERSION, VersionedBars
 
 DAY = dt.date(2020, 1, 1)
@@ -36,6 +37,22 @@ def check(table, model, synced):
     assert got == state_of(model, synced)
 
 
+def test_a_commit_of_many_rows_takes_larger_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FILES", 4)
+    table = VersionedBars(spark, str(tmp_path / "t"), rows_per_file=10)
+    model = {(f"S{i:02d}", d): float(d) for i in range(10) for d in range(30)}
+    table.create(frame(spark, [(s, d, c) for (s, d), c in model.items()]))
+    assert table.files().where("kind = 'base'").count() <= 4
+    table.merge(frame(spark, [(s, d, -1.0) for s, d in model if d < 20]))
+    table.compact()
+    assert contents(table.read()) == model | {k: -1.0 for k in model if k[1] < 20}
+    assert table.files().where("kind = 'base'").count() <= 4
+    monkeypatch.setattr(versions, "ROWS_PER_FILE", 40)
+    other = VersionedBars(spark, str(tmp_path / "u"), rows_per_file=10)
+    other.create(frame(spark, [(s, d, c) for (s, d), c in model.items()]))
+    assert 4 < other.files().where("kind = 'base'").count() <= 8
+
+
 def test_random_changes_equal_a_dictionary(spark, tmp_path):
     rng = random.Random(6)
     symbols = [f"S{i:02d}" for i in range(12)]
