@@ -8,6 +8,7 @@ from barloom.operators.grain import dedupe
 from barloom.functions import scalars
 from barloom.functions.series import add_layers, nxt
 from barloom.operators import indicators as ind
+from barloom.shared import fresh_path
 from barloom.sources.derive import trades
 from catalog.registry import (
     BARS, BAR_COLS, DESC, EVENT_BARS, SERIES, SO_FAR, TAME, W, as_of, bars, daily_events, full, lag,
@@ -308,6 +309,17 @@ def stored_and_batch(spark, d):
     return stored, numbered.filter("rn <= 25").drop("rn").unionByName(unseen)
 
 
+def kept_stored_and_batch(spark, d):
+    """The same two tables, written once for jobs that pass over them several times."""
+    def kept(df, purpose):
+        path = fresh_path(spark, purpose)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    stored, batch = stored_and_batch(spark, d)
+    return kept(stored, "stored"), kept(batch, "batch")
+
+
 @register(
     "pending_bars",
     statement([BARS, SPLIT, "last AS (SELECT symbol, max(date) AS d FROM stored GROUP BY symbol)"],

@@ -8,7 +8,7 @@ from barloom.operators.strategies import adjust_strategies
 from barloom.shared import fresh_path
 from barloom.sources import bar_csv, files, store
 from barloom.sources.versions import VersionedBars
-from catalog.bars import SPLIT, stored_and_batch
+from catalog.bars import SPLIT, kept_stored_and_batch, stored_and_batch
 from catalog.forecasts import ADJUST_NUM, ADJUST_SQL, BOOK_SQL, MADE
 from catalog.registry import BARS, VALIDATION_CTES, W, bars, forecasts, lag, lead, register, scored, statement
 
@@ -173,7 +173,7 @@ SYNCED = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
 
 def _versioned(spark, d):
     """Bars created, appended twice with repeated rows, corrected, and some symbols replaced."""
-    stored, batch = stored_and_batch(spark, d)
+    stored, batch = kept_stored_and_batch(spark, d)
     table = VersionedBars(spark, fresh_path(spark, "versions"), rows_per_file=2000)
     table.create(stored, synced_at=SYNCED[0])
     twice = batch.withColumn("seq", F.lit(2)).unionByName(batch.withColumns({"close": F.col("close") - 1, "seq": F.lit(1)}))
