@@ -149,3 +149,14 @@ def test_the_polynomial_stores_its_inputs_and_not_their_products(spark, monkeypa
     model, metrics = ml.fit_polynomial(rows, rows, inputs=names, alpha=1e-6)
     assert stored == [["label", *names]]
     assert model.numFeatures == 4 + 6 + 4 and metrics.first()["mse"] < 1e-9
+
+
+def test_every_arrival_is_a_run_of_its_own(spark, monkeypatch):
+    from catalog import streams
+    from catalog.registry import QUERIES
+
+    runs = []
+    begin = streams.jobs.stream_into_versions
+    monkeypatch.setattr(streams.jobs, "stream_into_versions", lambda *a, **k: runs.append(a) or begin(*a, **k))
+    QUERIES["streamed_version_state"](spark, "/root/testdata/sf0.001")
+    assert len(runs) == 4
