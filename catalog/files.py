@@ -35,9 +35,9 @@ def _written(df, spark, layout_of, headers, orders):
         line = F.when(layout_of == k, F.concat_ws(",", *[cells[c] for c in order])).otherwise(line)
         head = F.when(layout_of == k, F.lit("".join(f"{h}\n" for h in top))).otherwise(head)
     lines = df.select("symbol", head.alias("head"), F.struct("rn", line.alias("line")).alias("l"))
-    whole = lines.groupBy("symbol").agg(F.first("head").alias("head"), F.array_sort(F.collect_list("l")).alias("ls"))
+    whole = lines.groupBy("symbol").agg(F.first("head").alias("head"), F.sort_array(F.collect_list("l")).alias("ls"))
     path = fresh_path(spark, "eod")
-    text = F.concat("head", F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    text = F.concat("head", F.array_join(F.col("ls.line"), "\n"))
     whole.select("symbol", text.alias("value")).write.partitionBy("symbol").text(path)
     return path
 

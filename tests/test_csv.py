@@ -82,3 +82,30 @@ def test_the_scan_reads_lines_once_and_uses_no_python(spark, tmp_path):
     got = scan(spark, tmp_path / "a", {"A.csv": HEAD + "2020-01-01,1,2,0.5,1.5,9\n"})
     plan = got.bars._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_small_files_are_judged_without_a_shuffle(spark, tmp_path):
+    got = scan(spark, tmp_path / "a", {f"S{k}.csv": HEAD + "2020-01-01,1,2,0.5,1.5,9\n2020-01-02,x,2,0.5,1.5,9\n" * 3 for k in range(3)}, min_rows=2)
+    for frame, n in ((got.bars, 9), (got.rejects, 9), (got.files, 3)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert frame.count() == n
+
+
+def test_whole_compressed_and_split_files_are_judged_alike(spark, tmp_path, monkeypatch):
+    import gzip
+
+    text = "notes, about price\r\n\r\n" + HEAD + '2020-01-01,1,2,0.5,"1,500",9\r,,,,,\n 2020-01-02,1,2,0.5,1.5\n\n2020-01-03,1,2,0.5,1.5,9'
+    folder = tmp_path / "a"
+    scan(spark, folder, {"A.csv": text, "B.csv": "\n \n", "C.csv": "no header\n"})
+    with gzip.open(folder / "Z.csv.gz", "wb") as f:
+        f.write(text.encode())
+
+    def seen(got):
+        return (rows(got.bars.drop("seq")), rows(got.rejects.select("symbol", "line", "reason")),
+                sorted((tuple(r) for r in got.files.drop("file").collect()), key=str))
+
+    whole = seen(bar_csv.scan(spark, str(folder), glob="*", min_rows=1))
+    monkeypatch.setattr(bar_csv, "WHOLE_BYTES", -1)
+    split = seen(bar_csv.scan(spark, str(folder), glob="*", min_rows=1))
+    assert whole == split and {s for s, *_ in whole[2]} == {"A", "C", "Z"} and len(whole[0]) > 0
