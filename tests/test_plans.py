@@ -71,3 +71,27 @@ def test_latest_rows_are_limited_inside_the_window(spark, stored):
 def test_recommendations_neither_join_nor_shuffle_predictions(spark, sf_dir):
     p = plan(QUERIES["strategy_recommendations"](spark, sf_dir))
     assert "Join" not in p and "CartesianProduct" not in p
+
+
+def test_a_processed_table_is_stored_without_moving_or_sorting_wide_rows(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    from barloom.plans.cycles import process_bars
+
+    plans = []
+
+    def process(df):
+        out = process_bars(df)
+        plans.append(plan(out.drop("__slice").sortWithinPartitions("bucket")))
+        return out
+
+    src = bars(spark, sf_dir)
+    store.write_processed(src, process, str(tmp_path / "p"), 4)
+    assert len(re.findall(r"Exchange ", plans[0])) == 2   # bars, their buckets
+    assert len(re.findall(r"- Sort ", plans[0])) == 1
+    got, want = store.read_bars(spark, str(tmp_path / "p")), process_bars(src)
+    assert got.columns == want.columns
+    digest = [F.count("*"), *[F.sum(F.xxhash64("symbol", "date", F.round(F.col(c).cast("double"), 6)).cast("decimal(38,0)")) for c in got.columns[2:]]]
+    assert got.agg(*digest).first() == want.agg(*digest).first()
+    buckets = spark.read.parquet(str(tmp_path / "p")).groupBy("symbol").agg(F.count_distinct("bucket").alias("n"), F.min("bucket").alias("b"))
+    assert buckets.where((F.col("n") != 1) | (F.col("b") != store._bucket(4))).count() == 0
