@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from barloom.llm.components import bitmap, fresh_names, in_bitmap, maybe_in, saved
-from barloom.llm.tokens import SLICE_BYTES, common, distinct, hash_words, mix, table, texts
+from barloom.llm.tokens import SLICE_BYTES, common, distinct, hash_words, mix, released, table, texts
 
 PERCENT = 80
 LOCAL = 8               # counts of a slice below this are not gathered
@@ -353,6 +353,7 @@ def _nearest(later, earlier, apart, sure):
 
 def _proposals(percent):
     def run(packs):
+        released()
         if packs.column("bucket")[0].as_py() < 0:
             return _copies_proposed(packs)
         data, same = _equal_classes(_unpacked(packs))
@@ -391,6 +392,7 @@ def _all_candidates(percent, wanted):
     """All earlier candidates of the lines in the bitmap ``wanted``, of equal lines the first."""
 
     def run(packs):
+        released()
         data, same = _equal_classes(_unpacked(packs, widest=True))
         heads = _taken(data, np.flatnonzero(~same))
         marked = in_bitmap(wanted.value, _place(heads["doc"], heads["line"]))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components, maybe_in, saved
-from barloom.llm.tokens import common, joined, mix, set_ids, shingle_sets, table
+from barloom.llm.tokens import common, joined, mix, released, set_ids, shingle_sets, table
 
 BITS = 1024
 ANCHORS = 6
@@ -172,6 +172,7 @@ def _shared_entries(buckets):
     """Of a bucket's entries those of hashes that at least two classes hold; frequent ones pass as they are."""
 
     def run(key, packs):
+        released()
         bucket = key[0].as_py()
         data = np.concatenate([np.frombuffer(b, _PACK if bucket < buckets else _LATE) for b in packs.column("pack").to_pylist()])
         if bucket >= buckets:

@@ -8,6 +8,8 @@ inverse power. A set of shingles is a sorted array of distinct 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -69,8 +71,18 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE
     return hashes, np.searchsorted(start, bounds)
 
 
+def released() -> None:
+    """Gives the system back what earlier batches and groups have freed; a worker process would keep it for its whole life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):   # another C library
+        pass
+
+
 def texts(column: pa.Array):
     """``first row, data, bounds`` of slices of a string column; null is empty, a longer text is a slice by itself."""
+    released()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

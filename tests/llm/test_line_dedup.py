@@ -109,3 +109,20 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_dedup.repeats(empty).count() == 0
     assert line_dedup.without_repeats(empty.withColumn("x", F.lit(1))).collect() == []
+
+
+def test_a_worker_gives_freed_memory_back():
+    import numpy as np
+
+    from barloom.llm.tokens import released
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    parts = [np.ones(12_000) for _ in range(1500)]   # 144 MB in pieces that the C library keeps
+    last = parts[-1]
+    del parts
+    before = held()
+    released()
+    assert held() < before - 50_000_000 and len(last)
