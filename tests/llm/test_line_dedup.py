@@ -126,3 +126,20 @@ def test_a_worker_gives_freed_memory_back():
     before = held()
     released()
     assert held() < before - 50_000_000 and len(last)
+
+
+def test_keys_of_a_bitmap_are_made_once_and_apart_from_its_own_step(spark):
+    import numpy as np
+
+    from barloom.llm.components import bitmap, in_bitmap
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    words = bitmap(spark.range(1000).mapInArrow(passed, "id long"), "id")
+    assert seen.value == 1000
+    assert in_bitmap(words, np.arange(1000)).all() and in_bitmap(words, np.arange(1000, 3000)).sum() < 400
