@@ -4,7 +4,7 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 threshold. The join is exact and runs in these steps:
 
 1. One pass over the texts gives every document its set size, a 128-bit set id, a bitmap
-   signature (each shingle flips one of about n bits, 1,024 at least), a few minimum hashes
+   signature (each shingle flips one of about n bits, 256 at least), a few minimum hashes
    and, per batch, the shingles that several of its documents share.
 2. Documents of equal sets are one class, represented by the smallest doc_id.
 3. Each class is verified against the class of smallest doc_id with which it shares most
@@ -12,9 +12,11 @@ threshold. The join is exact and runs in these steps:
 4. Prefix filter: a set of n shingles in a global order (frequent ones last) can only link
    with sets that share one of its first n - ceil(t n) + 1 shingles. These entries travel
    packed by hash range; shingles held by one class alone end there.
-5. Classes that share an entry but are not joined yet meet in tiles of adjacent size bands,
-   split into blocks of bounded size. The bit count of two signatures' difference bounds the
-   overlap from above; the pairs it leaves are intersected exactly from their texts.
+5. Classes that share an entry but are not joined yet meet. An entry of few classes lists its
+   pairs, which are made distinct before they meet their signatures; those of an entry of many
+   meet in tiles of adjacent size bands, split into blocks of bounded size. The bit count of two
+   signatures' difference bounds the overlap from above; the pairs it leaves are intersected
+   exactly from their texts.
 6. Connected components over all verified links.
 
 Nothing is capped or sampled: the list of frequent shingles only chooses the order, for which
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 from barloom.llm.components import components, maybe_in, saved
 from barloom.llm.tokens import common, joined, mix, released, set_ids, shingle_sets, table
 
-BITS = 1024
+BITS = 256
 ANCHORS = 6
 FREQUENT = 50          # a shingle in this many documents goes to the end of the order ...
 FREQUENT_MOST = 200_000  # ... and so many of them at most, the most frequent
 BUCKET_ENTRIES = 400_000
+FEW = 32               # classes of an entry that are paired where the entry is, without tiles
 BLOCK = 1_000          # classes of one size band that meet in a tile
 LEADER_ROWS = 400      # members verified against one leader in one group
 
@@ -280,18 +283,44 @@ def _tile_pairs(percent):
     return run
 
 
-def _crossing_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of classes that share a prefix entry but no component."""
-    named = members.join(classes.select(F.col("s1").alias("sid"), "rep", "n", "comp"), "sid").select("gid", "n", "rep", "comp")
-    crossing = named.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("gid")
-    named = named.join(crossing, "gid").distinct()
+def _likely(percent):
+    """Pairs whose bit counts allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, m, n = (batch.column(i).to_numpy() for i in range(4))
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, both in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                x, y = folded(both)
+                apart[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64)
+            keep = (100 + percent) * ((m + n - apart) // 2) >= percent * (m + n)
+            yield table({"a": a[keep], "b": b[keep]}, _PAIR)
+
+    return run
+
+
+def _few_pairs(named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the entries of at most ``FEW`` classes: a pair of many entries meets its signatures once."""
+    held = named.groupBy("gid").agg(F.collect_list(F.struct("rep", "n", "comp")).alias("held"))
+    pairs = held.select(F.explode(F.expr(
+        "flatten(transform(held, x -> transform(filter(held, y -> x.rep < y.rep and x.comp != y.comp and "
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)), y -> struct(x.rep as a, y.rep as b, x.n as m, y.n as n))))")).alias("p"))
+    pairs = pairs.select("p.*").distinct()
+    pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("bits").alias("own")), "a").join(
+        classes.select(F.col("rep").alias("b"), F.col("bits").alias("other")), "b")
+    return pairs.select("a", "b", "m", "n", "own", "other").mapInArrow(_likely(percent), "a long, b long")
+
+
+def _many_pairs(named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the entries of more classes, in tiles."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - 1e-9)
     named = named.withColumn("own", band)
     spread = named.select("gid", "n", "rep", "comp", F.explode(F.array(
         F.struct(F.col("own").alias("band"), F.lit(1).cast("long").alias("role")),
         F.struct((F.col("own") + 1).alias("band"), F.lit(0).cast("long").alias("role")))).alias("s")).select(
         "gid", "n", "rep", "comp", "s.band", "s.role")
-    counts = spread.groupBy("gid", "band").agg(F.count("*").alias("rows"), F.sum("role").alias("upper")).where("rows > 1 and upper > 0")
+    counts = spread.groupBy("gid", "band").agg(F.count("*").alias("rows"), F.sum("role").alias("upper"), F.min("comp").alias("x"),
+                                               F.max("comp").alias("y")).where("x != y and upper > 0")
     spread = spread.join(counts.select("gid", "band", F.ceil(F.col("rows") / BLOCK).alias("blocks")), ["gid", "band"])
     spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -300,7 +329,16 @@ def _crossing_pairs(members: DataFrame, classes: DataFrame, percent: int) -> Dat
     tiles = tiles.join(classes.select("rep", "bits"), "rep").select(
         "gid", "band", "low", "high", "n", "comp", "rep", "block", "role", "bits")
     tiles = tiles.repartition("gid", "band", "low", "high").sortWithinPartitions("gid", "band", "low", "high")
-    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+    return tiles.mapInArrow(_tile_pairs(percent), "a long, b long")
+
+
+def _crossing_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of classes that share a prefix entry but no component."""
+    named = members.join(classes.select(F.col("s1").alias("sid"), "rep", "n", "comp"), "sid").select("gid", "n", "rep", "comp")
+    crossing = named.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held")).where("x != y")
+    named = saved(named.join(crossing.select("gid", "held"), "gid"), "crossing-entries")
+    few, many = named.where(F.col("held") <= FEW), named.where(F.col("held") > FEW)
+    return _few_pairs(few, classes, percent).union(_many_pairs(many, classes, percent)).distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -100,6 +100,29 @@ def test_components_equal_a_comparison_of_all_pairs(spark):
     assert len({c for _, _, c in wanted}) < len(wanted) - 5
 
 
+def test_pairs_of_few_and_of_many_classes_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - 3 * k], rng.integers(1, 1 << 62, k).astype(np.uint64)])) for k in range(40)]
+    classes = spark.createDataFrame(
+        [(100 + k, k, len(s), bytearray(ngram_jaccard._bitmap(s)), k // 4) for k, s in enumerate(sets)],
+        "s1 long, rep long, n long, bits binary, comp long")
+    members = spark.createDataFrame([(g, 100 + k) for g in range(6) for k in range(40) if (k + g) % 3], "gid long, sid long")
+    found = []
+    for few in (0, 1000):
+        monkeypatch.setattr(ngram_jaccard, "FEW", few)
+        found.append({(r.a, r.b) for r in ngram_jaccard._crossing_pairs(members, classes, 80).collect()})
+    assert found[0] == found[1]
+    linked = {(i, j) for j in range(40) for i in range(j) if i // 4 != j // 4
+              and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= found[0]
+
+
+def test_a_signature_has_about_as_many_bits_as_the_set_members():
+    sizes = {n: 8 * len(ngram_jaccard._bitmap(np.arange(n, dtype=np.uint64))) for n in (1, 256, 300, 1000, 3000)}
+    assert sizes == {1: 256, 256: 256, 300: 512, 1000: 1024, 3000: 4096}
+
+
 def test_edited_texts_and_fingerprints_by_definition(spark):
     rows = near_rows(4)
     found = {r.doc_id: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, SCHEMA)).collect()}
