@@ -531,7 +531,8 @@ def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = repeats(docs, percent).groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("line_no").alias(gone_name))
     joined = docs.join(gone, docs["doc_id"] == gone["key"], "left")
     changed = F.col(gone_name).isNotNull()
-    kept = _without(F.when(changed, docs["text"].cast("string")), F.col(gone_name))
+    # Nondeterministic only by name: else Spark repeats the function in the filter and for n_chars, in workers of its own.
+    kept = _without.asNondeterministic()(F.when(changed, docs["text"].cast("string")), F.col(gone_name))
     out = joined.select(*[docs[f"`{n}`"] for n in names if n != "text"], F.when(changed, kept).otherwise(docs["text"]).alias("text"), F.col(gone_name))
     out = out.where(F.col(gone_name).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in names:

@@ -143,3 +143,10 @@ def test_keys_of_a_bitmap_are_made_once_and_apart_from_its_own_step(spark):
     words = bitmap(spark.range(1000).mapInArrow(passed, "id long"), "id")
     assert seen.value == 1000
     assert in_bitmap(words, np.arange(1000)).all() and in_bitmap(words, np.arange(1000, 3000)).sum() < 400
+
+
+def test_texts_lose_their_lines_in_one_python_step(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e", 9), (2, "a b c\nnew line", 14), (3, "d e", 3)], SCHEMA + ", n_chars int")
+    kept = line_dedup.without_repeats(docs)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c\nd e", 9), (2, "new line", 8)]
