@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.series import add_layers, prev
 from barloom.operators import indicators as ind
+from barloom.operators import learning as ml
+from barloom.operators.clean import training_rows
 from barloom.plans import features as bundles
 from catalog.registry import half_up
 
@@ -49,3 +51,37 @@ def test_late_layers_give_the_same_columns_and_pass_fewer(spark, make_bars):
         return total
 
     assert passed(late) < passed(early)
+
+
+def test_training_rows_are_finite_and_present(spark):
+    values = [1.0, -0.0, 1e308, math.nan, math.inf, -math.inf, None]
+    df = spark.createDataFrame([(v, 3) for v in values] + [(2.0, None)], "x double, n long")
+    assert sorted(r["x"] for r in training_rows(df, ["x", "n"]).collect()) == [0.0, 1.0, 1e308]
+
+
+def test_the_filter_of_many_columns_is_compiled(spark):
+    """A method above 8,000 bytes of code is never compiled by the JVM."""
+    df = spark.range(5).select(*[(F.col("id") * i).cast("double").alias(f"c{i}") for i in range(40)]).localCheckpoint()
+    kept = training_rows(df, df.columns)
+    codes = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(
+        kept._jdf.queryExecution().executedPlan())
+    assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
+
+
+def test_a_stored_training_table_is_not_written_again(spark, make_bars, monkeypatch):
+    bars = make_bars({s: [100.0 + (i * k) % 13 for i in range(90)] for k, s in ((3, "a"), (5, "b"), (7, "c"))})
+    table, features = ml.stored_universal_table(bars)
+    assert table.columns == ["symbol", "date", "close", *features, "target_return"]
+    whole, names = ml.universal_table(bars)
+    assert names == features
+    part = whole.select(table.columns)
+    assert table.exceptAll(part).count() == 0 and part.exceptAll(table).count() == 0
+    written, write = [], ml.materialised
+    monkeypatch.setattr(ml, "materialised", lambda df, *a, **k: written.append(df) or write(df, *a, **k))
+    models = {"ridge": {}}
+    copied = ml.fit(table, features, "target_return", models)
+    assert len(written) == 1
+    plain = ml.fit(table, features, "target_return", models, copy=False)
+    assert len(written) == 1
+    a, b = (m.models["ridge"].stages[-1].coefficients.toArray() for m in (copied, plain))
+    assert abs(a - b).max() < 1e-9
